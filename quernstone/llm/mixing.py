@@ -70,6 +70,11 @@ def pivotal(fractions: list[float], random: list[float], carried: tuple[int, flo
     return out, carried
 
 
+def with_columns(batch: pa.RecordBatch, **values: list[float] | np.ndarray) -> pa.RecordBatch:
+    """batch with other numbers in the columns named, its schema as it was."""
+    return pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else c for f, c in zip(batch.schema, batch.columns)], schema=batch.schema)
+
+
 def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rounds the column `fraction` within runs of equal `run`; `open` is the fraction of the one left over of each run.
 
@@ -79,9 +84,7 @@ def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run, carried = None, None
 
     def made(batch: pa.RecordBatch, decided: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
-        for name, values in (("fraction", decided), ("open", left)):
-            batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, pa.float64()))
-        return batch
+        return with_columns(batch, fraction=decided, open=left)
 
     for batch in batches:
         if held is not None:
@@ -101,8 +104,7 @@ def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     decided[i + carried[0]], left[i + carried[0]] = 0.0, carried[1]
         held = None
         if skip is not None:
-            row = batch.slice(skip[0], 1)
-            held = row.set_column(row.schema.get_field_index("fraction"), "fraction", pa.array([skip[1]], pa.float64()))
+            held = with_columns(batch.slice(skip[0], 1), fraction=[skip[1]])
             keep = pa.array(np.delete(np.arange(len(runs)), skip[0]))
             yield made(batch.take(keep), np.delete(decided, skip[0]), np.delete(left, skip[0]))
         else:
