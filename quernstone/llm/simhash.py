@@ -9,7 +9,9 @@ pairs within 23 bits are found, and of pairs up to DISTANCE nearly all. Their co
 distances are then verified. Pairs are joined to groups (connected components).
 
 Each meeting is counted once: of the two half-way values only one is taken, and the
-59 bits that travel with an entry drop most chance meetings within the join.
+59 bits that travel with an entry drop most chance meetings within the join. Large families of
+copies are found beforehand by comparing those with a segment in common with one of them, so
+that not all their pairs meet.
 
 Defined results:
 - A text without words (null, empty, only signs) has no fingerprint and is in no group.
@@ -38,8 +40,8 @@ WORDS64 = 3
 SEGMENTS, SEGMENT_BITS = 8, 24
 #: Largest number of the 192 bits in which near duplicates differ.
 DISTANCE = 28
-#: Of the 59 bits that travel with an entry, those that may differ: pairs within DISTANCE differ in 8.6 on average, with a deviation of 2.4.
-TRAVELLING = 20
+#: Of the 59 bits that travel with an entry, those that may differ: pairs at DISTANCE differ in 8.6 on average, with a deviation of 2.3.
+TRAVELLING = 17
 
 # _SPREAD[v] has bit k of v in its k-th byte: sums of up to 255 of them are eight counts at once
 _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
@@ -104,30 +106,76 @@ def _segment(k: int) -> F.Column:
     return low.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int")
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """The different fingerprints among f0, f1, f2, each with a dense number `node`; kept in the shared folder."""
+    place = f"{OWN}place"
+    nodes = cut(nodes.select(*(f"f{k}" for k in range(WORDS64))).distinct().withColumn(place, F.monotonically_increasing_id()))
+    part, within = F.shiftright(F.col(place), 33), F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = nodes.groupBy(part.alias("part")).count()
+    # one row a partition
+    before = sizes.withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count")).select("part", "before")
+    return cut(nodes.join(F.broadcast(before), part == F.col("part")).select((F.col("before") + within).alias("node"), *(f"f{k}" for k in range(WORDS64))))
+
+
+def _apart(one: list[F.Column], other: list[F.Column]) -> F.Column:
+    out = F.lit(0)
+    for x, y in zip(one, other):
+        out = out + F.bit_count(x.bitwiseXOR(y))
+    return out
+
+
+def families(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(node, label): groups found without pairing everything, by one comparison with the first and last of those that have a segment in common.
+
+    A family of thousands of copies has millions of pairs; most of its members are joined here, in
+    a number of steps that grows with the documents. `near_pairs` then needn't pair them again.
+    """
+    full = F.struct("node", *(f"f{k}" for k in range(WORDS64)))
+    rows = nodes.select(full.alias("own"), F.posexplode(F.array(*(_segment(k) for k in range(SEGMENTS)))).alias("segment", "value"))
+    same = Window.partitionBy("segment", "value")
+    rows = rows.select("own", F.min("own").over(same).alias("first"), F.max("own").over(same).alias("last"))
+    edges = [
+        rows.filter(F.col("own.node") != F.col(f"{to}.node")).filter(_apart([F.col(f"own.f{k}") for k in range(WORDS64)], [F.col(f"{to}.f{k}") for k in range(WORDS64)]) <= distance).select(F.col("own.node").alias("a"), F.col(f"{to}.node").alias("b"))
+        for to in ("first", "last")
+    ]
+    return components(edges[0].union(edges[1]))
+
+
 def near_pairs(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b, distance), a < b, of the fingerprints (node, f0, f1, f2; all different) within that distance."""
-    entries = nodes.select("node", F.col("f2").bitwiseAND(F.lit(~31)).alias("carried"), F.posexplode(F.array(*(_segment(k) for k in range(SEGMENTS)))).alias("segment", "value"))
-    # way 0 leaves the segment as it is; way k flips its bit k - 1
-    ways = nodes.sparkSession.range(0, SEGMENT_BITS + 1, 1, 1).select(F.col("id").alias("way"), F.when(F.col("id") == 0, 0).otherwise(F.expr("shiftleft(1, cast(id - 1 as int))")).alias("mask"))
-    probes = entries.crossJoin(F.broadcast(ways)).select(
-        F.shiftleft(F.col("segment"), SEGMENT_BITS).bitwiseOR(F.col("value").bitwiseXOR(F.col("mask"))).alias("slot"), "node", F.col("carried").bitwiseOR(F.col("way")).alias("meta")
+    """(a, b, la, lb, distance), a < b, of the fingerprints (node, label, f0, f1, f2) with different labels within that distance."""
+    # an entry has its number and 24 bits of its label in one long, 59 bits of the fingerprint and the way in another
+    tag = (1 << 24) - 1
+    base = nodes.select(
+        F.shiftleft(F.col("node"), 24).bitwiseOR(F.xxhash64("label").bitwiseAND(F.lit(tag))).alias("entry"),
+        F.col("f2").bitwiseAND(F.lit(~31)).alias("carried"),
+        F.posexplode(F.array(*(_segment(k) for k in range(SEGMENTS)))).alias("segment", "value"),
     )
-    a = probes.select(F.col("slot"), F.col("node").alias("a"), F.col("meta").alias("ma"))
-    b = probes.select(F.col("slot"), F.col("node").alias("b"), F.col("meta").alias("mb"))
+    # way 0 leaves the segment as it is; way k flips its bit k - 1
+    probes = None
+    for way in range(SEGMENT_BITS + 1):
+        flipped = F.col("value").bitwiseXOR(F.lit(1 << way - 1 if way else 0))
+        own = base.select(F.shiftleft(F.col("segment"), SEGMENT_BITS).bitwiseOR(flipped).alias("slot"), "entry", F.col("carried").bitwiseOR(F.lit(way).cast("long")).alias("meta"))
+        probes = own if probes is None else probes.union(own)
+    a = probes.select(F.col("slot"), F.col("entry").alias("ea"), F.col("meta").alias("ma"))
+    b = probes.select(F.col("slot"), F.col("entry").alias("eb"), F.col("meta").alias("mb"))
     way_a, way_b = F.col("ma").bitwiseAND(F.lit(31)), F.col("mb").bitwiseAND(F.lit(31))
-    meet = a.join(b, "slot").filter((F.col("a") < F.col("b")) & ((way_a == 0) | (way_a < way_b)) & (F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")).bitwiseAND(F.lit(~31))) <= TRAVELLING))
-    pairs = meet.select("a", "b").distinct()
-    full = [nodes.select(F.col("node").alias(x), *(F.col(f"f{k}").alias(f"{x}{k}") for k in range(WORDS64))) for x in "ab"]
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, WORDS64)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    return pairs.join(full[0], "a").join(full[1], "b").select("a", "b", apart.alias("distance")).filter(F.col("distance") <= distance)
+    meet = a.join(b, "slot").filter(
+        (F.col("ea") < F.col("eb")) & ((way_a == 0) | (way_a < way_b)) & (F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")).bitwiseAND(F.lit(~31))) <= TRAVELLING) & (F.col("ea").bitwiseXOR(F.col("eb")).bitwiseAND(F.lit(tag)) != 0)
+    )
+    pairs = meet.select(F.shiftrightunsigned("ea", 24).alias("a"), F.shiftrightunsigned("eb", 24).alias("b")).distinct()
+    full = [nodes.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"), *(F.col(f"f{k}").alias(f"{x}{k}") for k in range(WORDS64))) for x in "ab"]
+    apart = _apart([F.col(f"a{k}") for k in range(WORDS64)], [F.col(f"b{k}") for k in range(WORDS64)])
+    return pairs.join(full[0], "a").join(full[1], "b").select("a", "b", "la", "lb", apart.alias("distance")).filter(F.col("distance") <= distance)
 
 
 def _members(docs: DataFrame, key: str, text: str, distance: int) -> DataFrame:
     """(key, h, keep_key, keep_h, copies): the rows in groups of several, with the one that stays and how many rows are equal to this one."""
-    prints = cut(fingerprints(docs, key, text).withColumn("node", F.xxhash64(*(f"f{k}" for k in range(WORDS64)))))
-    nodes = prints.select("node", *(f"f{k}" for k in range(WORDS64))).dropDuplicates(["node"])
-    labels = components(near_pairs(cut(nodes), distance))
-    of = prints.join(labels, "node", "left").select("key", "h", F.coalesce("label", "node").alias("label"))
+    prints = cut(fingerprints(docs, key, text))
+    nodes = numbered(prints)
+    known = cut(nodes.join(families(nodes, distance), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    wider = components(near_pairs(known, distance).select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("wider"))
+    labels = known.join(wider, "label", "left").select(*(f"f{k}" for k in range(WORDS64)), F.coalesce("wider", "label").alias("label"))
+    of = prints.join(labels, [f"f{k}" for k in range(WORDS64)]).select("key", "h", "label")
     own = Window.partitionBy("label")
     # min of (is null, key, h): a null key comes last
     stays = F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("h"))).over(own)
