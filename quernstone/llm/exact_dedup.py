@@ -144,12 +144,16 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", table_b
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """docs without the rows whose content a row that stays has; all columns of docs."""
-    routed = _routed(docs, key, text)
-    folder, columns = shared_dir(docs.sparkSession), docs.columns
+    # by place, whatever the columns are called
+    places, own = [f"{OWN}{n}" for n in range(len(docs.columns))], f"{OWN}hash"
+    at = dict(zip(docs.columns, places))
+    routed = _routed(docs, key, text).toDF(*places, own)
+    folder = shared_dir(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, stay, _ in _grace(batches, 0, table_bytes, folder, text, key, f"{OWN}hash"):
+        for batch, stay, _ in _grace(batches, 0, table_bytes, folder, at[text], at[key], own):
             if stay:
-                yield batch.select(columns).take(pa.array(stay, pa.int64()))
+                yield batch.select(places).take(pa.array(stay, pa.int64()))
 
-    return routed.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
+    kept = routed.mapInArrow(run, T.StructType([T.StructField(p, f.dataType, True) for p, f in zip(places, docs.schema.fields)]))
+    return kept.toDF(*docs.columns)
