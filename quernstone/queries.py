@@ -18,7 +18,7 @@ from quernstone.functions.stopwords import stop_words
 from quernstone.operators import index as ix
 from quernstone.operators import match
 from quernstone.plans import search as plan
-from quernstone.sources.readers import read_xml
+from quernstone.sources.readers import read_xml, spread
 from quernstone.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 # analyzer

@@ -16,6 +16,16 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.parquet(*([path] if isinstance(path, str) else path))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than there are cores, dealt out to all of them; any other as it is.
+
+    Small tables of one row group are one task otherwise, whatever is made of them. Filters and the choice
+    of columns still reach the scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType = DOCUMENT, required: Sequence[str] | None = None) -> DataFrame:
     """A JSON object a line. Objects that lack a required field, or have it empty, are an error when they are read."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
