@@ -5,8 +5,8 @@ lower-cased; 1 MB pieces of a longer text count a word once each). It is cut int
 segments of 24 bits. Every fingerprint is entered in the tables under all values within
 one bit of each of its segments, and looked up under the same values: two fingerprints
 whose segments differ in up to two bits meet half-way. By the pigeonhole principle all
-pairs within 23 bits are found, and of pairs up to DISTANCE nearly all. Their complete
-distances are then verified. Pairs are joined to groups (connected components).
+pairs within 23 bits meet, and of pairs at DISTANCE 98.7 %. Their complete distances are
+then verified. Pairs are joined to groups (connected components).
 
 Each meeting is counted once: of the two half-way values only one is taken, and the
 59 bits that travel with an entry drop most chance meetings within the join. Large families of
