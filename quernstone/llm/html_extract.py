@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.runtime import need, sample_by_hash
+from quernstone.llm.runtime import hashed, need
 
 #: Bound of the sample that the trees are fitted on.
 MAX_PAGES = 400
@@ -257,6 +257,23 @@ def labels_of(nodes: list[Node]) -> np.ndarray | None:
     return out if found else None
 
 
+def says(page: str) -> bool:
+    """Whether parse(page) has an article or main element."""
+    at, size = 0, len(page)
+    while at < size:
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        if m[2] is None or m[1]:
+            continue
+        tag = m[2].lower()
+        if tag in _SELF:
+            return True
+        if tag in _RAW:
+            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else size
+    return False
+
+
 def extract(page: str, trees: Boosted | None) -> str:
     nodes = parse(page)
     if trees is None:
@@ -276,7 +293,7 @@ def _gains(margin: np.ndarray, nodes: list[Node], text: np.ndarray, direct: np.n
 
 
 def fit(pages: DataFrame, key: str = "page_id", page: str = "html", max_pages: int = MAX_PAGES) -> Boosted | None:
-    """Trees of at most max_pages pages; None if none of them says where its content is."""
+    """Trees of at most max_pages of the pages that say where their content is; None if there is none in the whole table."""
     need(pages, key, page)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +306,17 @@ def fit(pages: DataFrame, key: str = "page_id", page: str = "html", max_pages: i
                     use = text > 0
                     yield pa.RecordBatch.from_arrays([pa.array([str(k)]), pa.array([x[use].tobytes()], pa.binary()), pa.array([y[use].astype(np.uint8).tobytes()], pa.binary())], names=["key", "x", "y"])
 
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["h"]).filter(pa.array([says(v) for v in batch.column(1).to_pylist()], pa.bool_()))
+
     known = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{page}`").alias("page")).filter("page is not null and key is not null")
-    got = sample_by_hash(known, "key", max_pages).mapInArrow(run, "key string, x binary, y binary").toArrow().to_pylist()
+    known = known.filter(F.col("page").rlike("(?i)<(?:article|main)"))  # all that may have such an element
+    h = hashed(F.col("key"))
+    top = known.select(h.alias("h"), "page").mapInArrow(labelled, "h long").orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]
+    if top is None:
+        return None
+    got = known.filter(h <= F.lit(top)).mapInArrow(run, "key string, x binary, y binary").toArrow().to_pylist()
     got = sorted(got, key=lambda r: (r["key"], r["x"]))[: 2 * max_pages]
     if not got:
         return None

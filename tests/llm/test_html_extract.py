@@ -96,3 +96,14 @@ def test_odd_rows(spark):
     assert he.main_texts(pages.limit(0), he.fit(pages.limit(0))).count() == 0
     plain = [tuple(r) for r in he.main_texts(pages.filter("page_id = 4"), None).collect()]
     assert plain == [(4, "no markup")]
+
+
+def test_sample_is_of_pages_that_say_where_their_content_is(spark):
+    plain = PAGE.replace("article", "div")
+    hidden = plain.replace("x='</p>'", "x='<article>'").replace("<nav>", "<!-- <main> --><nav>")
+    rows = [(n, PAGE if n in (777, 1234) else hidden if n % 2 else plain) for n in range(2000)]
+    for _, page in rows[:2] + [rows[777]]:
+        assert he.says(page) == (he.labels_of(he.parse(page)) is not None)
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert he.fit(pages, max_pages=4) is not None
+    assert he.fit(pages.filter("page_id not in (777, 1234)"), max_pages=4) is None
