@@ -8,7 +8,7 @@ digits, ISO 7064 mod 97-10 of IBANs, the header of a JWT, the outer DER length o
 Defined results:
 - A row for each match: id, rule, start and length in characters, and whether a checksum
   confirmed it (`checked`; false for rules that have none). The secret itself isn't returned.
-- Matches of a rule don't overlap: the one that begins first counts. Those of different rules may.
+- Matches of a rule don't overlap: the one that begins first counts; what fails its checksum is no match and hides none. Those of different rules may.
 - Null and empty texts have no matches. Ids may repeat; every row is scanned. Empty tables
   give empty results; other columns don't matter.
 """
@@ -83,9 +83,13 @@ class Rule:
     keywords: tuple[str, ...]
     expression: str
     checksum: Callable[[str], bool] | None = None
+    #: Characters within which other ends (at the end of a word) are tried if the checksum is wrong; 0: there are none.
+    span: int = 0
 
 
-_IBAN = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
+#: Length of each country's numbers, without spaces.
+_IBAN = {c[:2]: int(c[2:]) for c in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
+_IBANS = "|".join(rf"{c}\d\d" + " ?[A-Z0-9]{4}" * (n // 4 - 1) + " ?[A-Z0-9]{%d}" % (n % 4) * (n % 4 > 0) for c, n in _IBAN.items())
 _ASSIGNED = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key")
 
 RULES = (
@@ -99,8 +103,8 @@ RULES = (
     Rule("jwt", ("eyJ",), r"(?<![\w-])eyJ[\w-]{8,4000}\.[\w-]{8,16000}\.[\w-]{8,2000}(?![\w-])", jwt),
     Rule("private_key", ("-----BEGIN ",), r"-----BEGIN (?:RSA |EC |DSA )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,20000}-----END (?:RSA |EC |DSA )?PRIVATE KEY-----", der_key),
     Rule("assigned_secret", tuple(v for k in _ASSIGNED for v in (k, k.upper(), k.capitalize())), r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|[Aa]pi[_-]?key|API[_-]?KEY|[Aa]ccess_key|ACCESS_KEY)[\"']?\s{0,4}[:=]\s{0,4}[\"'][^\"'\s]{16,512}[\"']"),
-    Rule("payment_card", tuple(f"{n}" for n in range(10, 100)), r"(?<![\w.-])(?:4\d{3}(?:[ -]?\d{3}){3}|[1-9]\d{3}(?:[ -]?\d{4}){2}(?:[ -]?\d{2,7}))(?![\w])", luhn),
-    Rule("iban", tuple(f"{c}{d}" for c in _IBAN for d in range(10)), r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", iban),
+    Rule("payment_card", tuple(f"{n}" for n in range(10, 100)), r"(?<![\w.-])(?:4\d{3}(?:[ -]?\d{3}){3}|[1-9]\d{3}(?:[ -]?\d{4}){2}(?:[ -]?\d{2,7}))(?![\w])", luhn, 22),
+    Rule("iban", tuple(f"{c}{d}" for c in _IBAN for d in range(10)), rf"(?<!\w)(?:{_IBANS})(?!\w)", iban),
 )
 
 
@@ -128,14 +132,25 @@ def scan(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, i
         if start < free[n]:
             continue
         found = expressions[n].match(text, start)
+        check = rules[n].checksum
+        if found and check and not check(found[0]):
+            found = _other_end(text, start, expressions[n], rules[n])
         if found:
             free[n] = found.end()
-            check = rules[n].checksum
-            if check is None or check(found[0]):
-                out.append((rules[n].name, start, found.end() - start, check is not None))
+            out.append((rules[n].name, start, found.end() - start, check is not None))
     return sorted(out, key=lambda m: (m[1], m[0]))
 
 
+def _other_end(text: str, start: int, expression: re.Pattern, rule: Rule) -> re.Match | None:
+    """The longest match from start on whose checksum is right."""
+    for end in range(min(len(text), start + rule.span), start, -1):
+        if end == len(text) or not (text[end].isalnum() or text[end] == "_"):
+            found = expression.fullmatch(text, start, end)
+            if found and rule.checksum(found[0]):
+                return found
+    return None
+
+
 def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(key, rule, start, length, checked) of every match in every row of docs."""
     need(docs, key, text)

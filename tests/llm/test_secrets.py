@@ -80,3 +80,28 @@ def test_odd_rows(spark, odd, none):
     far = "word " * 100_000 + GITHUB
     docs = spark.createDataFrame([(1, far, "x"), (1, far, "x"), (None, GITHUB, "y"), (2, None, "z")], "doc_id long, text string, rule string")
     assert sorted(map(repr, (tuple(r) for r in secrets.secrets(docs).collect()))) == sorted(map(repr, [(1, "github_token", 500_000, 40, True)] * 2 + [(None, "github_token", 0, 40, True)]))
+
+
+def test_failed_candidates_hide_no_secret():
+    card, be, es = "4111 1111 1111 1111", "BE68 5390 0754 7034", "ES9121000418450200051332"
+    for before, secret, after, rule in (("in 2024 ", card, " end", "payment_card"), ("", card, " 22 end", "payment_card"), ("IBAN ", be, " BIC", "iban"), ("", es, " EUR", "iban"), ("DE89 ", "DE89 3704 0044 0532 0130 00", "", "iban"), ("", "4222222222222", " 333", "payment_card"), ("", "3056 9309 0259 04", "-1234", "payment_card")):
+        text = before + secret + after
+        checked = {r.name: r for r in secrets.RULES}[rule].checksum
+        assert checked(secret), secret
+        assert [m for m in secrets.scan(text) if m[0] == rule] == [(rule, len(before), len(secret), True)], text
+
+
+def test_every_start_and_end_of_cards_and_ibans():
+    rng = random.Random(9)
+    rules = {r.name: r for r in secrets.RULES if r.name in ("payment_card", "iban")}
+    pieces = ["4111 1111 1111 1111", "BE68 5390 0754 7034", "2024", "22", "BIC", "EUR", "DE89", "1111", "4222222222222", "of", "-"]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", " ", "-"]) for _ in range(rng.randrange(8)))
+        for name, rule in rules.items():
+            every, free = [], 0
+            for start in range(len(text)):
+                ends = [e for e in range(len(text), start, -1) if not re.match(r"\w", text[e:]) and (m := re.compile(rule.expression).fullmatch(text, start, e)) and rule.checksum(m[0])]
+                if ends and start >= free:
+                    every.append(start)
+                    free = ends[0]
+            assert [m[1] for m in secrets.scan(text) if m[0] == name] == every, text
