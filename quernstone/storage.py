@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where that is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir).
+
+    Where that is unset there is one of our own, on this machine, removed at exit: in tests and other
+    runs within one process. On a cluster it would not be shared, so there it is an error.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir is unset, and no folder of this machine is shared by the executors of {master}")
     if getattr(spark, "_quernstone_dir", None) is None:
-        spark._quernstone_dir = "file://" + tempfile.mkdtemp(prefix="quernstone-")
+        folder = tempfile.mkdtemp(prefix="quernstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark._quernstone_dir = f"file://{folder}"
     return spark._quernstone_dir
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name that no folder below the shared one has yet."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes a folder, wherever the file system of its name is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialised(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared folder, without its lineage."""
+    """df computed once, in the shared folder, without its lineage: what follows survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
