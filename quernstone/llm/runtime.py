@@ -1,41 +1,31 @@
-"""What the operators of this subpackage share: checkpoints, size checks, samples."""
+"""What the operators of this subpackage share: checkpoints, size checks, samples, columns whatever their names."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Prefix of the columns that operators add for themselves and drop again.
-OWN = "__quern_"
+from quernstone.storage import materialised, shared_dir
 
-#: A side is broadcast up to so many rows of two or three numbers (about 50 MB); beyond it the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+__all__ = ["OWN", "by_place", "cut", "hashed", "need", "pick", "sample_by_hash", "shared_dir", "small"]
 
+#: Prefix of the columns that operators add for themselves and drop again.
+OWN = "__quern_"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where that is unset, as in tests."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there
-    ours = getattr(spark, "_quern_dir", None)
-    if ours is None:
-        ours = spark._quern_dir = "file://" + tempfile.mkdtemp(prefix="quernstone-")
-    return ours
-
+#: A side is broadcast up to so many bytes, as a hash table has them; beyond it the join is shuffled.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row of fixed-width columns in such a table, besides 8 for each column.
+ROW_BYTES = 48
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: what follows survives lost executors and doesn't compute it again."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+#: The data once computed and kept in the shared folder: what follows survives lost executors and doesn't compute it again.
+cut = materialised
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (narrow, and cut before), with a broadcast hint if it has at most that many rows; else without, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (cut before, so that it can be measured), with a broadcast hint if it takes at most that many bytes; else without, for a shuffled join."""
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    size = F.lit(float(ROW_BYTES + 8 * len(df.columns))) + sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in wide), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
 
 def need(df: DataFrame, *columns: str) -> None:
@@ -44,6 +34,19 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns named by their places, and the new names of the old ones: names with dots, or that differ in case only, are nothing special."""
+    places = [f"{OWN}{n}" for n in range(len(df.columns))]
+    return df.toDF(*places), dict(zip(df.columns[::-1], places[::-1]))
+
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """Those columns of df under the given names, found by their exact names (of several of one name the first)."""
+    need(df, *columns.values())
+    rows, at = by_place(df)
+    return rows.select(*(F.col(at[c]).alias(name) for name, c in columns.items()))
+
+
 def hashed(*columns: str | Column) -> Column:
     """A number that orders rows at random, always the same way."""
     return F.xxhash64(F.lit(7919), *columns)

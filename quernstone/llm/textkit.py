@@ -67,8 +67,8 @@ def utf8(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.nd
 def slices(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, piece offsets, text number of each piece), of about SLICE_BYTES each.
 
-    A text above SLICE_BYTES is cut at bytes that aren't part of words where it has
-    any within reach, so where it is cut depends on the text alone.
+    A text above SLICE_BYTES is cut before a byte that isn't part of a word, the first from there
+    on: no word is cut, and where a text is cut depends on it alone.
     """
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -81,17 +81,43 @@ def slices(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
         end, at = int(offsets[i + 1]), start
         while at < end:
             to = min(end, at + SLICE_BYTES)
-            if to < end:
-                gaps = np.flatnonzero(~WORD_BYTE[raw[max(at + 1, to - 4096) : to]])
+            while to < end:
+                gaps = np.flatnonzero(~WORD_BYTE[raw[to : min(end, to + 4096)]])
                 if len(gaps):
-                    to = max(at + 1, to - 4096) + int(gaps[-1])
-                while to < end and (raw[to] & 0xC0) == 0x80 and to > at + 1:
-                    to -= 1
+                    to += int(gaps[0])
+                    break
+                to = min(end, to + 4096)
             yield raw[at:to], np.array([0, to - at]), np.array([i])
             at = to
         i += 1
 
 
+def distinct_words(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, hash) of the different words of whole lower-cased texts, sorted, some texts at a time; a long text comes once, by itself."""
+    long: list[np.ndarray] = []
+    own = -1
+    for part, bounds, rows in slices(*utf8(column, lower=True)):
+        h, _, piece = words(part, bounds)
+        if long and (len(rows) > 1 or rows[0] != own):
+            yield _one(own, long)
+            long = []
+        if len(rows) == 1:  # maybe a piece of a longer text
+            own = int(rows[0])
+            long = [np.unique(np.concatenate([*long, h]))]
+            continue
+        order = np.lexsort((h, piece))
+        h, piece = h[order], piece[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (piece[1:] != piece[:-1])
+        yield rows[piece[new]], h[new]
+    if long:
+        yield _one(own, long)
+
+
+def _one(row: int, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.full(len(hashes[0]), row, dtype=np.int64), hashes[0]
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, piece number) of each word, in order."""
     if not len(raw):
@@ -110,14 +136,3 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], out=sums[1:])
     return splitmix((sums[ends] - sums[starts]) * down[starts]), starts, np.searchsorted(offsets, starts, side="right") - 1
-
-
-def ngrams(hashes: np.ndarray, piece: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and piece numbers of the runs of n words within a piece."""
-    if len(hashes) < n:
-        return hashes[:0], piece[:0]
-    out = hashes[: len(hashes) - n + 1].copy()
-    for k in range(1, n):
-        out = splitmix(out) + hashes[k : len(hashes) - n + 1 + k] * np.uint64(2 * k + 1)
-    same = piece[: len(piece) - n + 1] == piece[n - 1 :]
-    return splitmix(out[same]), piece[: len(piece) - n + 1][same]
