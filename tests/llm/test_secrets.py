@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import random
 import re
+import time
 import zlib
 
 from quernstone.llm import secrets
@@ -74,9 +75,91 @@ def test_same_as_brute_force_on_documents(spark, table):
     assert got == wanted and len({m[1] for m in got}) > 1
 
 
+def pem(kind: str, raw: bytes, head: str = "") -> str:
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{head}{base64.encodebytes(raw).decode()}-----END {kind}PRIVATE KEY-----"
+
+
+def test_no_length_is_too_long():
+    body = base64.urlsafe_b64encode(b"x" * 20_000).decode().rstrip("=")
+    raw = b"\x30\x82" + (40_000).to_bytes(2, "big") + bytes(40_000)
+    for name, text in {
+        "slack_token": "xoxb-" + "a1B2-" * 80 + "z",
+        "stripe_key": "sk_live_" + "k9" * 300,
+        "jwt": f"eyJhbGciOiJIUzI1NiJ9.{body}.{body[:3000]}",
+        "private_key": pem("RSA ", raw),
+        "assigned_secret": 'password = "' + "p4" * 600 + '"',
+    }.items():
+        assert secrets.scan(f"so: {text} end") == [(name, 4, len(text), name in ("jwt", "private_key"))], name
+
+
+def test_kinds_of_keys_and_assignments():
+    der = b"\x30\x82\x00\x60" + bytes(96)
+    for text, names in {
+        pem("ENCRYPTED ", der): ["private_key"],
+        pem("OPENSSH ", b"openssh-key-v1\0" + bytes(90)): ["private_key"],
+        pem("OPENSSH ", bytes(90)): [],
+        pem("RSA ", bytes(96), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F0F\n\n"): ["private_key"],
+        pem("RSA ", bytes(97), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F0F\n\n"): [],
+        "API_KEY=abcdef0123456789abcdef": ["assigned_secret"],
+        "secret=abcdefghijklmnopqrstuvwxyz": [],
+        "token=1234567890123456789": [],
+        "3782 822463 10005": ["payment_card"],
+        "3782-822463-10005": ["payment_card"],
+        "378282246310005": ["payment_card"],
+        "3056 930902 5904": ["payment_card"],
+        "7992 7398 7130 0000": [],
+    }.items():
+        assert [m[0] for m in secrets.scan(text)] == names, text
+
+
+def all_spans(text: str, checks) -> list[tuple[int, int]]:
+    """Without expressions: every span between ends of words that a check accepts; from each start the longest, none within another."""
+    out, free = [], 0
+    for i in range(len(text)):
+        if i < free:
+            continue
+        for j in range(min(len(text), i + 44), i + 8, -1):
+            if checks(text, i, j):
+                out.append((i, j - i))
+                free = j
+                break
+    return out
+
+
+def whole(text: str, i: int, j: int, before: str) -> bool:
+    return (i == 0 or not (text[i - 1].isalnum() or text[i - 1] in before)) and (j == len(text) or not (text[j].isalnum() or text[j] == "_"))
+
+
+def is_iban(text: str, i: int, j: int) -> bool:
+    groups = text[i:j].split(" ")
+    plain = "".join(groups)
+    if " " in (text[i], text[j - 1]) or not plain.isalnum() or not plain.isascii() or plain.upper() != plain or not plain[2:4].isdigit() or secrets._IBAN.get(plain[:2]) != len(plain) or not whole(text, i, j, "_"):
+        return False
+    # spaces are after every fourth character only, one at a time
+    at = [k - n for n, k in enumerate(m.start() for m in re.finditer(" ", text[i:j]))]
+    return all(k % 4 == 0 for k in at) and len(set(at)) == len(at) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_ibans_against_all_spans():
+    rng = random.Random(21)
+    pieces = ["BE68 5390 0754 7034", "BE68539007547034", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "EUR", "BIC", "PAID", "now", "DE89", "22", "2024", "BE6", "8", "x", "_"]
+    for _ in range(600):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", " ", "  ", "-"]) for _ in range(rng.randrange(1, 7)))
+        assert [(m[1], m[2]) for m in secrets.scan(text) if m[0] == "iban"] == all_spans(text, is_iban), text
+
+
+def test_adversarial_texts_take_linear_time():
+    began = time.perf_counter()
+    for piece in ("xoxb-", "eyJaaaaaaaa.", "token=", 'password="', "-----BEGIN RSA PRIVATE KEY-----\nAAAA", "4111 1111 ", "BE68 5390 ", "ghp_", "secret='x"):
+        secrets.scan(piece * 40_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_odd_rows(spark, odd, none):
     assert secrets.secrets(odd).count() == 0
     assert secrets.secrets(none).count() == 0
+    clash = spark.createDataFrame([(1, "of no interest", GITHUB)], "`a.b` long, TEXT string, text string")
+    assert [tuple(r) for r in secrets.secrets(clash, "a.b").collect()] == [(1, "github_token", 0, 40, True)]
     far = "word " * 100_000 + GITHUB
     docs = spark.createDataFrame([(1, far, "x"), (1, far, "x"), (None, GITHUB, "y"), (2, None, "z")], "doc_id long, text string, rule string")
     assert sorted(map(repr, (tuple(r) for r in secrets.secrets(docs).collect()))) == sorted(map(repr, [(1, "github_token", 500_000, 40, True)] * 2 + [(None, "github_token", 0, 40, True)]))
