@@ -2,8 +2,8 @@
 
 A page is parsed to a tree of elements (implied end tags and unknown markup are tolerated).
 Each element has features: size and density of text and links in its subtree, its depth,
-place among siblings and how they resemble it, its kind, and which attribute tokens it and
-its ancestors have. Boosted trees (numpy, logistic loss, histograms) say how likely an element is
+place among siblings and how they resemble it, its kind, the first token of its class, id and role (hashed),
+and of all such tokens of it and its ancestors what they hint at (advertising, navigation, content ...). Boosted trees (numpy, logistic loss, histograms) say how likely an element is
 main content. Hierarchical decoding then picks the set of elements that gains most, none of
 which contains another: an element is taken whole, or its children are decided, never both.
 
@@ -14,8 +14,9 @@ these two tags (nor `header`, `footer`, `nav`, `aside`), so the trees tell conte
 Defined results:
 - `text` is the text of the picked elements in order, a line for each block; runs of spaces count as one.
 - A null page has a null text; an empty one, or one without markup or content, the empty text.
+- Whatever the markup is and however long or deep, parsing takes time in proportion; what can't be a tag is text.
 - Without any page that says where its content is, all text of the body is content.
-- Ids may repeat; every row counts. An empty table gives an empty result. Other columns don't matter.
+- Ids may repeat, as rows may; every row counts, and in the sample one page of an id. An empty table gives an empty result. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -32,16 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.runtime import hashed, need
+from quernstone.llm.runtime import hashed, need, one_text, pick
 
 #: Bound of the sample that the trees are fitted on.
 MAX_PAGES = 400
 TREES, DEPTH, RATE, BINS = 30, 4, 0.3, 32
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|([^<]+|<)", re.S)
+#: Text, or a tag whose attributes have no `<`: nearly all there is.
+_PLAIN = re.compile(r"([^<]+)|<(/?)([a-zA-Z][^\s/>\"'<]*)(?=[\s/>])((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
+_NAME_END = re.compile(r"[\s/>]")
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title"))
+_RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in _RAW}
 _SILENT = frozenset(("script", "style", "noscript", "template", "head", "title", "svg", "select", "option", "button"))
 #: An opening tag ends an open element of these kinds.
 _BLOCK = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -62,47 +66,150 @@ class Node:
     items: list[int | str] = field(default_factory=list)  # children's numbers and pieces of text
 
 
+class Scanner:
+    """Tags and text of a page, in one pass forward.
+
+    What is looked for (the next `>`, quote, end of a name) is remembered until the scan has passed it, and a place
+    from which a tag can't end isn't tried from again; so the time is linear, whatever the page is.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.size = page, len(page)
+        self._next: dict[str, int] = {}
+        self._from: dict[str, int] = {}
+        self._name_end = -1
+        self._dead: set[int] = set()
+
+    def tag_end(self, start: int) -> int:
+        """The `>` that ends the tag whose attributes begin at start, not in quotes; -1: there is none."""
+        page, at, tried = self.page, start, []
+        while True:
+            end = self._ahead(">", at)
+            quote = min(self._ahead('"', at), self._ahead("'", at))
+            if end < quote:
+                return end
+            if end == self.size or quote in self._dead:
+                break
+            tried.append(quote)
+            close = page.find(page[quote], quote + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self._dead.update(tried)
+        return -1
+
+    def _ahead(self, what: str, start: int) -> int:
+        """Where `what` is next, from start on, or the page's end; what was found from an earlier start holds up to there."""
+        at = self._next.get(what, -1)
+        if start <= at and self._from.get(what, 0) <= start:
+            return at
+        at = self.page.find(what, start)
+        at = self.size if at < 0 else at
+        self._next[what], self._from[what] = at, start
+        return at
+
+    def tokens(self) -> Iterator[tuple[int, str, str]]:
+        """(kind, name or text, attributes) with kind 0 for text, 1 for an opening tag, 2 for a closing one, 3 for what is inside a raw element."""
+        page, size, at = self.page, self.size, 0
+        while at < size:
+            m = _PLAIN.match(page, at)
+            if m:
+                at = m.end()
+                if m[1] is not None:
+                    yield 0, m[1], ""
+                    continue
+                shut, name, attributes = m[2], m[3].lower(), m[4]
+            else:
+                second = page[at + 1 : at + 2]
+                if page.startswith("<!--", at):
+                    end = self._ahead("-->", at + 4)
+                    at = min(size, end + 3)
+                    continue
+                if second in ("!", "?"):
+                    end = self._ahead(">", at + 1)
+                    if end < size:
+                        at = end + 1
+                        continue
+                shut = "/" if second == "/" else ""
+                begin = at + 1 + len(shut)
+                letter = page[begin : begin + 1]
+                end = -1
+                if letter.isascii() and letter.isalpha() and self._ahead(">", begin) < size:
+                    if self._name_end < begin:
+                        found = _NAME_END.search(page, begin)
+                        self._name_end = found.start() if found else size
+                    end = self.tag_end(self._name_end)
+                if end < 0:  # no tag
+                    yield 0, "<", ""
+                    at += 1
+                    continue
+                name, attributes, at = page[begin : self._name_end].lower(), page[self._name_end : end], end + 1
+            if shut:
+                yield 2, name, ""
+                continue
+            yield 1, name, attributes
+            if name in _RAW:
+                found = _RAW_END[name].search(page, at)
+                end = self._ahead(">", found.end()) if found else size
+                yield 3, page[at : found.start() if end < size else size], ""
+                at = min(size, end + 1)
+
+
+class Open:
+    """The open elements, with the places of those of each kind, so that none has to be looked for."""
+
+    def __init__(self) -> None:
+        self.numbers, self.tags = [0], ["#root"]
+        self.places: dict[str, list[int]] = {}
+        self.stops: list[int] = []
+
+    def push(self, number: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.numbers))
+        if tag in _STOP:
+            self.stops.append(len(self.numbers))
+        self.numbers.append(number)
+        self.tags.append(tag)
+
+    def cut(self, place: int) -> None:
+        """Closes the elements from that place on."""
+        while len(self.numbers) > place:
+            self.numbers.pop()
+            self.places[self.tags.pop()].pop()
+        while self.stops and self.stops[-1] >= place:
+            self.stops.pop()
+
+    def last(self, tags: frozenset[str] | tuple[str, ...]) -> int:
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
+
+
 def parse(page: str) -> list[Node]:
     """Elements in document order; the first is the root."""
     nodes = [Node("#root", -1, 0)]
-    stack, at, size = [0], 0, len(page)
-    while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        if m[4] is not None:
-            nodes[stack[-1]].items.append(m[4])
-            continue
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
-            continue
-        ends = _ENDS.get(tag)
-        if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = nodes[stack[k]].tag
-                if open_tag in ends:
-                    del stack[k:]
-                    break
-                if open_tag in _STOP:
-                    break
-        n = len(nodes)
-        nodes[stack[-1]].items.append(n)
-        nodes.append(Node(tag, stack[-1], len(stack), m[3]))
-        if tag in _RAW:
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
-            nodes[n].items.append(page[at : end.start() if end else size])
-            at = end.end() if end else size
-        elif tag not in _VOID and not (m[3].endswith("/") and tag not in _BLOCK):
-            stack.append(n)
+    stack = Open()
+    for kind, name, attributes in Scanner(page).tokens():
+        if kind == 0:
+            nodes[stack.numbers[-1]].items.append(name)
+        elif kind == 3:
+            nodes[-1].items.append(name)
+        elif kind == 2:
+            place = stack.last((name,))
+            if place:
+                stack.cut(place)
+        else:
+            ends = _ENDS.get(name)
+            if ends:
+                place = stack.last(ends)
+                if place and place >= (stack.stops[-1] if stack.stops else 0):
+                    stack.cut(place)
+            n = len(nodes)
+            nodes[stack.numbers[-1]].items.append(n)
+            nodes.append(Node(name, stack.numbers[-1], len(stack.numbers), attributes))
+            if name not in _RAW and name not in _VOID and not (attributes.endswith("/") and name not in _BLOCK):
+                stack.push(n, name)
     return nodes
 
 
-N_FEATURES = 24
+N_FEATURES = 25
 
 
 def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +252,7 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         up = max(0, node.parent)
         t, b, u, c = text[k], below[k] + 1, text[up], children[up] or 1
         tag = node.tag
-        rows.append((_SHAPE_NUMBER.get(tag, -1), _SHAPE_NUMBER.get(nodes[up].tag, -1), node.depth, t, direct[k], t / b, linked[k] / (t or 1), stops[k] / (t or 1), below[k], children[k], place[k], place[k] / c, c, kinds.get((up, tag), 0) / c, t / (u or 1), linked[up] / (u or 1), u, attr[k], *[hint[k] >> i & 1 for i in range(6)]))
+        rows.append((_SHAPE_NUMBER.get(tag, -1), _SHAPE_NUMBER.get(nodes[up].tag, -1), node.depth, t, direct[k], t / b, linked[k] / (t or 1), stops[k] / (t or 1), below[k], children[k], place[k], place[k] / c, c, kinds.get((up, tag), 0) / c, t / (u or 1), linked[up] / (u or 1), u, attr[k], *[hint[k] >> i & 1 for i in range(len(_HINTS))]))
     return np.array(rows, dtype=np.float32), np.array(text), np.array(direct)
 
 
@@ -259,19 +366,7 @@ def labels_of(nodes: list[Node]) -> np.ndarray | None:
 
 def says(page: str) -> bool:
     """Whether parse(page) has an article or main element."""
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        if m[2] is None or m[1]:
-            continue
-        tag = m[2].lower()
-        if tag in _SELF:
-            return True
-        if tag in _RAW:
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-    return False
+    return any(kind == 1 and name in _SELF for kind, name, _ in Scanner(page).tokens())
 
 
 def extract(page: str, trees: Boosted | None) -> str:
@@ -310,16 +405,16 @@ def fit(pages: DataFrame, key: str = "page_id", page: str = "html", max_pages: i
         for batch in batches:
             yield batch.select(["h"]).filter(pa.array([says(v) for v in batch.column(1).to_pylist()], pa.bool_()))
 
-    known = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{page}`").alias("page")).filter("page is not null and key is not null")
+    known = pick(pages, key=key, page=page).filter("page is not null and key is not null")
     known = known.filter(F.col("page").rlike("(?i)<(?:article|main)"))  # all that may have such an element
     h = hashed(F.col("key"))
     top = known.select(h.alias("h"), "page").mapInArrow(labelled, "h long").orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]
     if top is None:
         return None
-    got = known.filter(h <= F.lit(top)).mapInArrow(run, "key string, x binary, y binary").toArrow().to_pylist()
-    got = sorted(got, key=lambda r: (r["key"], r["x"]))[: 2 * max_pages]
+    got = one_text(known.filter(h <= F.lit(top)), "page", "key").mapInArrow(run, "key string, x binary, y binary").toArrow().to_pylist()
     if not got:
         return None
+    got = sorted(got, key=lambda r: (r["key"], r["x"]))
     x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, N_FEATURES)
     y = np.frombuffer(b"".join(r["y"] for r in got), np.uint8).astype(np.int64)
     return Boosted.fit(x, y, np.sqrt(1 + x[:, 3]).astype(np.float64))
@@ -351,4 +446,4 @@ def main_texts(pages: DataFrame, trees: Boosted | None, key: str = "page_id", pa
                         out.append(_text(nodes, decode(nodes, _gains(own, nodes, m[1], m[2]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "text"])
 
-    return pages.select(F.col(f"`{key}`").alias(key), F.col(f"`{page}`").alias("page")).mapInArrow(run, T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField("text", T.StringType())]))
+    return pick(pages, key=key, page=page).mapInArrow(run, T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField("text", T.StringType())]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.storage import materialised, shared_dir
 
-__all__ = ["OWN", "by_place", "cut", "hashed", "need", "pick", "sample_by_hash", "shared_dir", "small"]
+__all__ = ["OWN", "by_place", "cut", "hashed", "need", "one_text", "pick", "sample_by_hash", "shared_dir", "small"]
 
 #: Prefix of the columns that operators add for themselves and drop again.
 OWN = "__quern_"
@@ -52,11 +52,17 @@ def hashed(*columns: str | Column) -> Column:
     return F.xxhash64(F.lit(7919), *columns)
 
 
-def sample_by_hash(df: DataFrame, key: str, rows: int, weight_key: Column | None = None) -> DataFrame:
-    """The rows of df whose key is among the `rows` smallest by hash: a bounded sample that is the same on every run.
+def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows of df whose key is among the `rows` smallest by hash: a sample that is the same on every run.
 
-    The threshold is found from the key column alone; the wide columns are read for the sampled rows only.
+    The threshold is found from the key column alone; the wide columns are read for the sampled rows only. Repeated
+    keys take places among the `rows`, and all of their rows are returned: `one_text` leaves one of each.
     """
     h = hashed(F.col(key))
     top = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     return df.filter(h <= F.lit(top)) if top is not None else df.limit(0)
+
+
+def one_text(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, text): of rows of equal keys the text with the smallest hash, so that a sample of keys is one of rows; merged before the shuffle."""
+    return df.groupBy(*keys).agg(F.min_by(text, F.xxhash64(text)).alias(text))

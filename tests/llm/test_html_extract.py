@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +27,62 @@ def test_parser_tolerates_what_there_is():
     assert he.extract(deep, None) == "x"
 
 
+def test_parsing_takes_time_in_proportion():
+    for piece in ("<a ", '<a "', "<a<b ' ", "<!x", "<script></script ", '</p "', "<div>", "<p><td><h1>", "<a x='\"' ", "<b></i>"):
+        for end in ("", ">", '">', "'>"):
+            began = time.perf_counter()
+            he.parse(piece * 100_000 + end)
+            assert time.perf_counter() - began < 10, (piece, end)
+    began = time.perf_counter()
+    he.extract("<a " * 400_000, None)
+    assert time.perf_counter() - began < 4
+
+
+class Tree(HTMLParser):
+    """Another parser's elements: (tag, number of the parent), and all its text outside of silent elements."""
+
+    def __init__(self, page: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open, self.found, self.words = [], [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k] in he._ENDS.get(tag, ()):
+                del self.open[k:]
+                break
+            if self.open[k] in he._STOP:
+                break
+        self.found.append((tag, len(self.open)))
+        if tag not in he._VOID:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not set(self.open) & he._SILENT:
+            self.words += re.findall(r"\w+", data)
+
+
+def test_same_elements_and_words_as_another_parser(table):
+    pages = [r.html for r in table("pages").collect() if r.html]
+    assert len(pages) > 100
+    for page in pages:
+        other = Tree(page)
+        nodes = he.parse(page)
+        assert [(n.tag, n.depth - 1) for n in nodes[1:]] == other.found
+        assert re.findall(r"\w+", he._text(nodes, [0])) == other.words
+
+
+def test_all_hints_are_features():
+    x, _, _ = he.features(he.parse("<div class=content><p id=nav>x</p></div><div>y</div>"))
+    assert x.shape[1] == he.N_FEATURES == 25
+    assert x[1, -1] == 1 and x[2, -1] == 1 and x[2, -6] == 1 and x[3, -7:].sum() == 0
+
+
 def test_without_trees_all_text_of_the_body():
     assert he.extract(PAGE, None).split("\n") == ["Home", "More", "Title & so", "First, one.", "Second two.", "Imprint"]
 
