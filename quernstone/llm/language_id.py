@@ -2,7 +2,7 @@
 
 Bytes are embedded, filters of widths 2, 3 and 4 go over fixed-length windows of the text,
 each filter's maximum over the window goes to a softmax. It is trained in numpy (back-
-propagation, Adam) on windows of a bounded sample of labelled texts (MAX_LABELLED). To apply
+propagation, Adam) on windows of a bounded sample of labelled texts (PER_LANGUAGE of each language). To apply
 it, what a filter makes of two neighbouring bytes is tabulated once, so that a filter's
 output is a sum of one or two rows of tables. All windows of a text count, by their length.
 
@@ -10,8 +10,8 @@ Defined results:
 - `language` is the one with the largest mean log probability over the text's windows, the first by
   name of equal ones; `probability` is that mean as softmax, rounded to 4 digits.
 - A null or empty text has a null language and probability 0.
-- Labels that are null are ignored; without any label every language is null.
-- Ids may repeat; every row counts. An empty table gives an empty result. Other columns don't matter.
+- Labels that are null are ignored; without any label every language is null. However rare a language is, its rows are in the sample.
+- Ids may repeat, as rows may; every row counts, and equal ones once in the sample. Texts of any length count whole. An empty table gives an empty result. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,19 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from quernstone.llm.runtime import need, sample_by_hash
+from quernstone.llm.runtime import hashed, pick
 from quernstone.llm.textkit import utf8
 
-#: Bound of the labelled sample that the network is trained on.
-MAX_LABELLED = 1200
-#: Windows of each training text, spread over all of it.
+#: Bounds of the labelled sample that the network is trained on: rows of each language, and languages (the most common).
+PER_LANGUAGE, MAX_LANGUAGES = 300, 256
+#: Windows of each training text in an epoch, drawn from all of it.
 TRAIN_WINDOWS = 4
 WINDOW = 256
 EMBED = 8
 FILTERS = 16
 WIDTHS = (2, 3, 4)
-EPOCHS = 6
+EPOCHS = 8
 
 
 def windows_of(raw: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +82,8 @@ class Network:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True)), hidden, where, e
 
     @classmethod
-    def train(cls, x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOCHS, batch: int = 32, rate: float = 5e-3) -> Network:
+    def train(cls, x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOCHS, batch: int = 32, rate: float = 5e-3, text: np.ndarray | None = None) -> Network:
+        """text: number of the text that each window is from; of each some are drawn for every epoch. None: all windows are used."""
         rng = np.random.default_rng(0)
 
         def init(*shape, scale):
@@ -93,7 +95,12 @@ class Network:
         first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
-            for i in range(0, len(x), batch):
+            if text is not None:
+                order = order[np.argsort(text[order], kind="stable")]  # of each text its windows in any order
+                own = text[order]
+                order = order[np.arange(len(own)) - np.searchsorted(own, own) < TRAIN_WINDOWS]
+                order = order[rng.permutation(len(order))]
+            for i in range(0, len(order), batch):
                 rows = order[i : i + batch]
                 xb = x[rows]
                 logp, hidden, where, e = net._forward(xb)
@@ -153,29 +160,24 @@ class Tables:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", max_labelled: int = MAX_LABELLED) -> Network | None:
-    """A network trained on at most max_labelled rows with a label and text, None if there are none."""
-    need(docs, key, text, label)
-    known = docs.filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull())
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows at equal distances, so that a long text sends no more than a short one."""
-        for batch in batches:
-            x, owner, _ = windows_of(*utf8(batch.column(1)))
-            for n in np.unique(owner).tolist():
-                own = x[owner == n]
-                chosen = own[np.unique(np.linspace(0, len(own) - 1, TRAIN_WINDOWS).astype(int))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(n, 1), pa.array([batch.column(2)[n].as_py()], pa.string()), pa.array([chosen.tobytes()], pa.binary())], names=["key", "label", "windows"])
-
-    chosen = sample_by_hash(known.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("string").alias("label")), "key", max_labelled)
-    got = chosen.mapInArrow(pick, T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("label", T.StringType()), T.StructField("windows", T.BinaryType())])).toArrow().to_pylist()
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
+    """A network trained on at most per_language rows of each label, chosen by hash among the rows with a label and text; None if there are none."""
+    known = pick(docs, key=key, text=text, label=label).filter("label is not null and key is not null and text <> ''").withColumn("label", F.col("label").cast("string"))
+    sizes = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
+    if not sizes:
+        return None
+    # first by a share of the hashes that leaves some more than wanted, then exactly; the texts of the first choice only are moved
+    h = hashed("key", "text")
+    upto = F.create_map(*(F.lit(v) for r in sizes for v in (r["label"], min(2**63 - 1, int(2**64 * min(1.0, (per_language + 5 * per_language**0.5 + 5) / r["count"])) - 2**63))))
+    first = known.filter(h <= upto[F.col("label")]).withColumn("h", h).dropDuplicates(["label", "h"])
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    got = first.withColumn("place", place).filter(F.col("place") <= per_language).select("label", "h", "text").toArrow().to_pylist()
     if not got:
         return None
-    got = sorted(got, key=lambda r: (str(r["key"]), r["label"], r["windows"]))[: 2 * max_labelled]
+    got = sorted(got, key=lambda r: (r["label"], r["h"]))
     languages = sorted({r["label"] for r in got})
-    x = np.frombuffer(b"".join(r["windows"] for r in got), dtype=np.uint8).reshape(-1, WINDOW)
-    y = np.repeat([languages.index(r["label"]) for r in got], [len(r["windows"]) // WINDOW for r in got])
-    return Network.train(x, y, languages)
+    x, owner, _ = windows_of(*utf8(pa.array([r["text"] for r in got], pa.string())))
+    return Network.train(x, np.array([languages.index(r["label"]) for r in got])[owner], languages, text=owner)
 
 
 def identify_batch(tables: Tables, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,10 +203,9 @@ def identify_batch(tables: Tables, column: pa.Array) -> tuple[np.ndarray, np.nda
 
 def identify(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, language, probability) of every row of docs."""
-    need(docs, key, text)
-    rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
+    rows = pick(docs, key=key, text=text)
     if net is None:
-        return rows.select(key, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"))
+        return rows.select("key", F.lit(None).cast("string"), F.lit(0.0)).toDF(key, "language", "probability")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,9 +58,35 @@ def test_held_out_accuracy(table):
     assert sum(r.language == r.lang for r in got) >= 0.97 * len(got)
 
 
-def test_query(spark, table):
+def test_query_against_the_plain_network(spark, table):
+    """Each document by itself: its windows one after the other through the network as it was trained, without tables or batches."""
+    docs = table("documents")
+    net = li.fit(docs)
     got = op8_language_id(spark, "/root/testdata/sf0.01")
-    assert got.columns == ["doc_id", "language", "probability"] and got.count() == table("documents").count()
+    assert got.columns == ["doc_id", "language", "probability"]
+    got, rows = {r.doc_id: r for r in got.collect()}, docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        raw = (r.text or "").encode()
+        if not raw:
+            assert got[r.doc_id].language is None and got[r.doc_id].probability == 0
+            continue
+        total = np.zeros(len(net.languages))
+        for i in range(0, len(raw), li.WINDOW):
+            own = raw[i : i + li.WINDOW]
+            total += len(own) * net.log_probabilities(np.frombuffer(own.ljust(li.WINDOW, b"\0"), np.uint8)[None])[0]
+        p = np.exp(total / len(raw) - (total / len(raw)).max())
+        p /= p.sum()
+        assert p[net.languages.index(got[r.doc_id].language)] >= p.max() - 1e-3 and abs(p.max() - got[r.doc_id].probability) <= 2e-3
+
+
+def test_rare_languages_are_in_the_sample_and_ties_go_to_the_first(spark):
+    rows = [(n, f"the one and the other {n}", "en") for n in range(3000)] + [(n, f"aqui y alla {n}", "es") for n in range(3000, 3003)] + [(1, "", "xx"), (2, None, "yy")]
+    net = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20)
+    assert net.languages == ["en", "es"]
+    flat = li.Network(["a", "b"], net.embed, net.filters, net.bias, np.zeros_like(net.out), np.zeros(2, np.float32))
+    docs = spark.createDataFrame([(1, "whatever", "x")], "`a.b` long, text string, TEXT string")
+    assert [tuple(r) for r in li.identify(docs, flat, "a.b").collect()] == [(1, "a", 0.5)]
 
 
 def test_odd_rows(spark, odd, none):
