@@ -12,7 +12,8 @@ Defined results:
 - A text of fewer than three bytes, or null, or with no similarity to any neighbour scores 0.
 - Labels that are null or of unknown documents are ignored; several of one id are averaged.
 - Without labelled documents scores are null and `good_documents` keeps every row.
-- Ids may repeat; every row is scored. An empty table gives an empty result. Other columns are carried along.
+- A text of any length counts whole: its runs of bytes are those of the whole text.
+- Ids may repeat, as rows may; every row is scored, and in the sample one text of an id. An empty table gives an empty result. Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.runtime import cut, need, sample_by_hash
+from quernstone.llm.runtime import by_place, cut, need, one_text, pick, sample_by_hash
 from quernstone.llm.textkit import slices, utf8
 
 #: Bound of the labelled sample that the model is fitted on.
@@ -45,7 +46,11 @@ def term_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     for first in range(0, len(offsets) - 1, BLOCK):
         own = offsets[first : first + BLOCK + 1]
         out = np.zeros((len(own) - 1, TERMS), dtype=np.float32)
+        last, tail = -1, raw[:0]
         for part, bounds, rows in slices(raw[own[0] : own[-1]], own - own[0]):
+            if len(rows) == 1 and rows[0] == last:  # goes on in the same text: the runs across the cut count too
+                part, bounds = np.concatenate([tail, part]), bounds + np.array([0, len(tail)])
+            last, tail = int(rows[-1]), part[max(int(bounds[-2]), len(part) - 2) :]
             if len(part) < 3:
                 continue
             b = part.astype(np.uint32)
@@ -99,10 +104,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """The model of a sample of at most max_labelled labelled ids; None if no labelled document is found."""
     need(docs, key, text)
     need(labels, label_key, label)
-    known = labels.filter(F.col(label).isNotNull() & F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("id")).agg(F.avg(label).alias("label"))
+    known = pick(labels, id=label_key, label=label).filter("label is not null and id is not null").groupBy("id").agg(F.avg("label").alias("label"))
     # a bounded number of rows: safe to broadcast
     chosen = F.broadcast(cut(sample_by_hash(cut(known), "id", max_labelled)))
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(chosen, "id").select("id", "label", "text")
+    rows = one_text(pick(docs, id=key, text=text).join(chosen, "id"), "text", "id", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,11 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     got = got.filter(pc.greater(pc.list_value_length(got["terms"]), 0))
     if not len(got):
         return None
-    # ids that repeat in docs must not exceed the bound; the order must not depend on the tasks
+    # the order must not depend on the tasks
     x = np.zeros((len(got), TERMS), dtype=np.float32)
     for n, (t, c) in enumerate(zip(got["terms"], got["counts"])):
         x[n, t.values.to_numpy()] = c.values.to_numpy()
-    order = np.lexsort((x.sum(axis=1), got["id"].to_numpy()))[: 2 * max_labelled]
+    order = np.lexsort((x.sum(axis=1), got["id"].to_numpy()))
     return Neighbours.fit(x[order], got["label"].to_numpy()[order])
 
 
@@ -139,11 +144,15 @@ def _scorer(docs: DataFrame, model: Neighbours):
 def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **fitting) -> DataFrame:
     """(key, score, good) of every row of docs."""
     model = fit(docs, labels, key, text, **fitting)
-    score = F.lit(None).cast("double") if model is None else _scorer(docs, model)(F.col(f"`{text}`"))
-    return docs.select(F.col(f"`{key}`").alias(key), score.alias("score")).withColumn("good", F.coalesce(F.col("score") >= threshold, F.lit(True)))
+    rows = pick(docs, key=key, text=text)
+    score = F.lit(None).cast("double") if model is None else _scorer(docs, model)(F.col("text"))
+    return rows.select("key", score.alias("score")).withColumn("good", F.coalesce(F.col("score") >= threshold, F.lit(True))).toDF(key, "score", "good")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **fitting) -> DataFrame:
     """docs without the rows that score below the threshold; all columns of docs."""
     model = fit(docs, labels, key, text, **fitting)
-    return docs if model is None else docs.filter(_scorer(docs, model)(F.col(f"`{text}`")) >= threshold)
+    if model is None:
+        return docs
+    rows, at = by_place(docs)
+    return rows.filter(_scorer(docs, model)(F.col(at[text])) >= threshold).toDF(*docs.columns)

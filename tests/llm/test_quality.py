@@ -33,9 +33,7 @@ def test_trigrams_dont_cross_texts_or_slices():
     texts = ["abcd", None, "", "ab", "xyz" * 400_000, "é汉字"]
     got = np.concatenate([c for _, _, c in quality.term_counts(pa.array(texts))])
     for t, row in zip(texts, got):
-        if len(t or "") < 1000:
-            assert (row == counts_of(t or "")).all()
-    assert abs(got[4].sum() - (1_200_000 - 2)) <= 4
+        assert (row == counts_of(t or "")).all()
 
 
 def test_same_as_brute_force_on_documents(spark, table):
@@ -61,7 +59,7 @@ def test_held_out_accuracy(table):
 
 def test_the_sample_is_bounded(table):
     model = quality.fit(table("documents"), table("labels"), max_labelled=50)
-    assert 0 < len(model.labels) <= 100
+    assert 0 < len(model.labels) <= 50
 
 
 def test_odd_rows(spark, odd, none):
