@@ -29,3 +29,7 @@ class LanguageNotSupported(SearchError):
     def __init__(self, language: str) -> None:
         super().__init__(f"language {language!r} isn't supported")
         self.language = language
+
+
+class DocumentsDiffer(SearchError):
+    """Columns of given documents aren't those of the documents that are there."""

@@ -93,6 +93,11 @@ def analyze(text: Column, language: str = "en", stemming: bool = True, stops: bo
     return out if duplicates else F.array_distinct(out)
 
 
+def analyze_unfolded(text: Column, language: str) -> Column:
+    """Stems of the text's tokens, with their accents."""
+    return _stemmer(language)(split(text, language))
+
+
 def analyze_by(text: Column, language: Column, languages: list[str], **options: bool) -> Column:
     """Tokens of texts in several languages: each by the analyzer of its own, those of other languages null."""
     languages = [check_language(x) for x in languages]

@@ -95,10 +95,13 @@ def dictionary_sizes(stats: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
+    """dictionary: (prop, term) of all terms, with repeats, where term_stats has not all of them; else None."""
+
     lengths: DataFrame
     postings: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
+    dictionary: DataFrame | None = None
 
     @classmethod
     def build(cls, fields: DataFrame, languages: list[str], analysis: Analysis, keep: bool = True) -> Index:

@@ -6,6 +6,7 @@ prunes row groups by `=`, `IN` and `startsWith`, and no join with the tokens is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,36 +28,50 @@ def fuzzy(term: Column, token: str, tolerance: int) -> Column:
     return F.length(term).between(max(0, len(token) - tolerance), len(token) + tolerance) & (F.levenshtein(term, F.lit(token), tolerance) >= 0)
 
 
-def tree_prefixes(terms: DataFrame, tokens: list[str]) -> dict[tuple[str, str], str | None]:
-    """Of a property and token: below which prefix of the compressed prefix tree of the terms a tolerant
-    search looks for candidates; None: nowhere.
+def conditions(term: Column, tokens: list[str], mode: str, tolerance: int = 0) -> list[Column]:
+    """For each token, whether the term may match it; in the mode `tree` a term below the right prefix does."""
+    if mode == EXACT:
+        return [exact(term, t) for t in tokens]
+    if mode == PREFIX:
+        return [prefix(term, t) for t in tokens]
+    return [fuzzy(term, t, tolerance) for t in tokens]
+
+
+def _head(t: int, token: str) -> Column:
+    """From the columns some, own, low and high of each beginning of the t-th token."""
+
+    def at(n: int) -> Column:
+        if n == 0:
+            return F.struct(F.lit(0).alias("n"), F.lit(True).alias("some"), F.lit(True).alias("node"))
+        parts = F.coalesce(F.col(f"low{t}_{n}") != F.col(f"high{t}_{n}"), F.lit(False))
+        return F.struct(F.lit(n).alias("n"), F.col(f"some{t}_{n}").alias("some"), (F.col(f"own{t}_{n}") | parts).alias("node"))
+
+    def last(which: Callable[[Column], Column]) -> Column:
+        return F.array_max(F.transform(F.filter(heads, which), lambda x: x["n"]))
 
-    terms: prop, term. The tree's nodes are the empty string, the terms, and the prefixes behind which terms
-    part. With L the longest beginning of the token that a term has: if it is the whole token, it is the
-    prefix; if it is a node, there is no such branch, so nothing; else the longest node above it.
+    heads = F.array(*(at(n) for n in range(len(token) + 1)))
+    reach = last(lambda x: x["some"])
+    above = last(lambda x: x["node"] & (x["n"] < reach))
+    ends = F.exists(heads, lambda x: x["node"] & (x["n"] == reach))
+    return F.when(reach == len(token), F.lit(token)).when(~ends, F.substring(F.lit(token), F.lit(1), above))
+
+
+def tree_prefixes(terms: DataFrame, tokens: list[str]) -> DataFrame:
+    """(prop, token, head): below which prefix of the compressed prefix tree of the terms a tolerant search looks for candidates.
+
+    terms: prop, term, with or without repeats. No row where there are no candidates. The tree's nodes are the empty
+    string, the terms, and the prefixes behind which terms part. With L the longest beginning of the token that a term
+    has: if it is the whole token, it is the prefix; if it is a node, there is no such branch, so nothing; else the
+    longest node above it. One row a property is made of all terms before anything is shuffled.
     """
-    aggregates, names = [], []
+    aggregates = []
     for t, token in enumerate(tokens):
         for n in range(len(token) + 1):
             here = F.col("term").startswith(F.lit(token[:n]))
             following = F.when(here & (F.length("term") > n), F.substring("term", n + 1, 1))
-            aggregates.append(F.struct(F.max(here).alias("some"), F.max(F.col("term") == token[:n]).alias("is_term"), F.min(following).alias("low"), F.max(following).alias("high")).alias(f"t{t}_{n}"))
-            names.append((t, n))
-    out: dict[tuple[str, str], str | None] = {}
-    if not aggregates:
-        return out
-    for row in terms.groupBy("prop").agg(*aggregates).collect():  # one row a property
-        for t, token in enumerate(tokens):
-            at = [row[f"t{t}_{n}"] for n in range(len(token) + 1)]
-            reach = max(n for n, x in enumerate(at) if x["some"] or n == 0)
-            node = [n == 0 or bool(x["is_term"]) or (x["low"] is not None and x["low"] != x["high"]) for n, x in enumerate(at)]
-            if reach == len(token):
-                out[row["prop"], token] = token
-            elif node[reach]:
-                out[row["prop"], token] = None
-            else:
-                out[row["prop"], token] = token[: max(n for n in range(reach) if node[n])]
-    return out
+            aggregates += [F.max(here).alias(f"some{t}_{n}"), F.max(F.col("term") == token[:n]).alias(f"own{t}_{n}"), F.min(following).alias(f"low{t}_{n}"), F.max(following).alias(f"high{t}_{n}")]
+    heads = [F.struct(F.lit(token).alias("token"), _head(t, token).alias("head")) for t, token in enumerate(tokens)]
+    return terms.groupBy("prop").agg(*aggregates).select("prop", F.inline(F.array(*heads))).filter("head is not null")
 
 
 def matches(table: DataFrame, tokens: list[str], mode: str, tolerance: int = 0, terms: DataFrame | None = None) -> DataFrame:
@@ -65,19 +80,15 @@ def matches(table: DataFrame, tokens: list[str], mode: str, tolerance: int = 0,
     terms: prop and term of the whole dictionary, for the mode `tree`.
     """
     term = F.col("term")
-    if mode == EXACT:
-        return table.filter(term.isin(tokens)).withColumn("token", term) if tokens else table.limit(0).withColumn("token", term)
-    if mode == PREFIX:
-        conditions = {t: prefix(term, t) for t in tokens}
-    elif mode == DOCUMENTED:
-        conditions = {t: fuzzy(term, t, tolerance) for t in tokens}
-    else:
-        below = tree_prefixes(table.select("prop", "term") if terms is None else terms, tokens)
-        conditions = {}
-        for t in tokens:
-            own = [(F.col("prop") == p) & prefix(term, start) for (p, token), start in below.items() if token == t and start is not None]
-            conditions[t] = reduce(Column.__or__, own) & fuzzy(term, t, tolerance) if own else F.lit(False)
     if not tokens:
         return table.limit(0).withColumn("token", term)
-    which = F.filter(F.array(*(F.when(c, F.lit(t)) for t, c in conditions.items())), lambda x: x.isNotNull())
-    return table.filter(reduce(Column.__or__, conditions.values())).withColumn("token", F.explode(which))
+    if mode == EXACT:
+        return table.filter(term.isin(tokens)).withColumn("token", term)
+    own = dict(zip(tokens, conditions(term, tokens, mode, tolerance)))
+    which = F.filter(F.array(*(F.when(c, F.lit(t)) for t, c in own.items())), lambda x: x.isNotNull())
+    found = table.filter(reduce(Column.__or__, own.values())).withColumn("token", F.explode(which))
+    if mode != TREE:
+        return found
+    # tokens x properties rows
+    below = F.broadcast(tree_prefixes(table.select("prop", "term") if terms is None else terms, tokens).withColumnRenamed("token", "of"))
+    return found.join(below.withColumnRenamed("prop", "in"), (F.col("prop") == F.col("in")) & (F.col("token") == F.col("of")) & term.startswith(F.col("head"))).select(*table.columns, "token")

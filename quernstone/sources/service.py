@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from quernstone.errors import DocumentNotFound, SearchError
 from quernstone.functions.scoring import DEFAULT_RELEVANCE
 from quernstone.plans.engine import SearchEngine
 from quernstone.sources.readers import DOCUMENT, read_xml
+from quernstone.storage import materialised
 
 PROPERTIES = ["abstract", "title"]
 
@@ -29,8 +32,8 @@ def _failing(f):
             return f(*args, **options)
         except DocumentNotFound as e:
             raise Failure(404, str(e)) from e
-        except (SearchError, ValueError) as e:
-            raise Failure(400, str(e)) from e
+        except (SearchError, ValueError, PySparkException, Py4JJavaError) as e:
+            raise Failure(400, str(e).splitlines()[0]) from e
 
     return call
 
@@ -60,10 +63,9 @@ class DocumentService:
         for path in paths:
             if not path.endswith(".gz"):
                 raise ValueError(f"{path} isn't gzipped")
-            df = read_xml(self.spark, path)
-            n = df.count()
-            errors = self.engine.insert_batch(df, 10_000, lang.lower() or None)
-            out = {"total": out["total"] + n, "success": out["success"] + n - len(errors), "fail": out["fail"] + len(errors)}
+            df = materialised(read_xml(self.spark, path))  # all of it is read before any is added
+            n, failed = df.count(), self.engine.insert_batch(df, 10_000, lang.lower() or None).count()
+            out = {"total": out["total"] + n, "success": out["success"] + n - failed, "fail": out["fail"] + failed}
         return out
 
     @_failing

@@ -34,10 +34,32 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Removes a folder, wherever the file system of its name is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    fs, path = _file_system(spark, name)
+    return fs.exists(path)
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what is in a folder; none if there is no such folder."""
+    fs, path = _file_system(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def touch(spark: SparkSession, name: str) -> None:
+    """Makes an empty file; an error if there is one of that name."""
+    fs, path = _file_system(spark, name)
+    fs.create(path, False).close()
 
 
 def materialised(df: DataFrame) -> DataFrame:

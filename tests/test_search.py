@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.errors import DocumentAlreadyExists, DocumentNotFound, LanguageNotSupported, PropertyNotSearchable
+from quernstone.errors import DocumentAlreadyExists, DocumentNotFound, DocumentsDiffer, LanguageNotSupported, PropertyNotSearchable
 from quernstone.functions import analyzer, scoring
+from quernstone.functions.known_stems import KNOWN_STEMS
 from quernstone.functions.stemmers import stem
 from quernstone.functions.stopwords import stop_words
 from quernstone.operators import index as ix
@@ -116,7 +117,55 @@ def test_changes_are_rebuilds(spark):
 def test_batch_reports_repeated_ids(spark):
     e = SearchEngine(spark, frame(spark, enumerate(USERS[:2])), stemming=False, stop_words=False)
     errors = e.insert_batch(frame(spark, [(1, USERS[1]), (2, USERS[2]), (2, USERS[3]), (3, USERS[4])]), 1000)
-    assert sorted(x.key for x in errors) == ["1", "2"] and e.count == 4
+    assert sorted(tuple(r) for r in errors.collect()) == [("1", "DocumentAlreadyExists"), ("2", "DocumentAlreadyExists")] and e.count == 4
+    assert e.insert_batch(frame(spark, [(1, USERS[1])] * 3 + [(5, USERS[5])])).count() == 3 and e.count == 5
+
+
+def test_a_change_that_fails_changes_nothing(spark):
+    for keep in (True, False):
+        e = SearchEngine(spark, frame(spark, enumerate(USERS[:3])), stemming=False, stop_words=False, keep_index=keep)
+        before = e._state
+        whole = frame(spark, [(1, USERS[4])])
+        for call, error in (
+            (lambda: e.update(whole.drop("email")), DocumentsDiffer),
+            (lambda: e.update(whole.withColumn("more", F.lit(1))), DocumentsDiffer),
+            (lambda: e.update(whole.withColumn("name", F.lit(1))), DocumentsDiffer),
+            (lambda: e.update(whole.union(whole)), DocumentAlreadyExists),
+            (lambda: e.update(whole.union(frame(spark, [(9, USERS[9])]))), DocumentNotFound),
+            (lambda: e.insert(whole.union(frame(spark, [(9, USERS[9])]))), DocumentAlreadyExists),
+            (lambda: e.insert_batch(whole.drop("name")), DocumentsDiffer),
+            (lambda: e.delete(["1", "9"]), DocumentNotFound),
+            (lambda: e.update(whole, "pl"), LanguageNotSupported),
+        ):
+            with pytest.raises(error):
+                call()
+            assert e._state is before
+        assert e.count == 3 and e.search("jane").count == 1
+        e.update(whole)
+        assert e.count == 3 and e.search("jane").count == 0 and e.search("tom").count == 2
+
+
+def test_with_and_without_a_kept_index(spark):
+    docs = frame(spark, [*enumerate(USERS), (10, (None, "")), (11, ("tom tom bob", None))])
+    for tolerance_mode in (match.DOCUMENTED, match.TREE):
+        kept, scan = (SearchEngine(spark, docs, stemming=False, stop_words=False, tolerance_mode=tolerance_mode, keep_index=k) for k in (True, False))
+        for options in ({}, {"exact": True}, {"tolerance": 1}, {"tolerance": 2, "properties": ["email", "name", "name"]}, {"k": 0.0, "b": 0.0, "d": 0.0}):
+            for query in ("tom brow", "andersom", "email", "nothing"):
+                a, b = (sorted((r["id"], round(r["score"], 9)) for r in e.scores(query, **options).collect()) for e in (kept, scan))
+                assert a == b, (query, options)
+    assert scan.index is None and scan.search("!!").count == 0
+
+
+def test_deletes_are_compacted_too(spark, monkeypatch):
+    from quernstone.plans import engine as module
+
+    monkeypatch.setattr(module, "COMPACT_AFTER", 3)
+    e = SearchEngine(spark, frame(spark, enumerate(USERS)), stemming=False, stop_words=False)
+    plans = []
+    for n in range(9):
+        e.delete([str(n)])
+        plans.append(e.index.postings._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+    assert max(plans) <= 2 and min(plans) == 0 and e.count == 1 and e.search("eve").count == 1
 
 
 def test_ids_are_made_and_nested_properties(spark):
@@ -144,6 +193,26 @@ def test_save_and_load(spark, engine, tmp_path):
     assert table(again) == table(engine)
 
 
+def test_saving_again_where_it_was_read(spark, tmp_path):
+    folder = f"{tmp_path}/e"
+    e = SearchEngine(spark, frame(spark, enumerate(USERS[:5])), stemming=False, stop_words=False)
+    assert e.save(folder) == 1
+    reader = SearchEngine(spark, stemming=False, stop_words=False).load(folder)
+    e = SearchEngine(spark, stemming=False, stop_words=False).load(folder)
+    e.insert(frame(spark, [(5, USERS[5])]))
+    assert e.save(folder) == 2 and e.count == 6 and reader.count == 5
+    e.delete(["0"])
+    assert e.save(folder) == 3
+    # a version that wasn't completed counts for nothing
+    (tmp_path / "e" / "v000000004" / "documents").mkdir(parents=True)
+    again = SearchEngine(spark, stemming=False, stop_words=False).load(folder)
+    assert again.count == 5 and table(again) == table(SearchEngine(spark, frame(spark, list(enumerate(USERS[:6]))[1:]), stemming=False, stop_words=False))
+    SearchEngine.vacuum(spark, folder)
+    assert sorted(p.name for p in (tmp_path / "e").iterdir()) == ["v000000003", "v000000004"] and again.search("jane").count == 1
+    with pytest.raises(FileNotFoundError):
+        SearchEngine(spark).load(f"{tmp_path}/none")
+
+
 @pytest.mark.parametrize(
     ("tf", "df", "length", "average", "n", "k", "b", "d", "expected"),
     [(1.0, 1, 10, 10.0, 1, 1.0, 1.0, 1.0, 0.43152310867767135), (0.5, 1, 10, 12.43, 2, 1.2, 0.75, 0.5, 0.7276874539155506), (0.75, 1, 10, 5.32, 3, 1.2, 0.75, 0.5, 0.7691433563655649)],
@@ -197,6 +266,11 @@ def test_analyzer_is_the_same_on_the_driver(spark):
             assert got == [analyzer.analyze_text(t or "", language, stemming=stemming, stops=stemming) for t in texts], language
 
 
+def test_published_samples_of_stems():
+    for language, pairs in KNOWN_STEMS.items():
+        assert [(w, stem(w, language)) for w, _ in pairs] == pairs, language
+
+
 def test_stop_words_and_stems():
     assert [len(stop_words(x)) for x in ("en", "fr", "hu", "no", "ru", "es", "sv")] == [317, 436, 737, 119, 421, 284, 386]
     for language, pairs in {
@@ -287,6 +361,12 @@ def test_sources(spark, tmp_path):
     service.update(made["id"], {"title": "Four", "url": "u4", "abstract": "nothing"})
     assert service.search({"query": "thing"})["count"] == 0
     service.delete(made["id"])
+    for name, content in (("plain.xml.gz", b"<feed><doc><title>x</title></doc></feed>"), ("broken.xml.gz", gzip.compress(b"<feed><doc><title>x</doc></feed>")), ("plain.xml", b"<feed/>")):
+        (tmp_path / name).write_bytes(content)
+        n = service.engine.count
+        with pytest.raises(Failure) as e:
+            service.upload([str(tmp_path / name)])
+        assert e.value.status == 400 and service.engine.count == n, name
     for status, call in ((404, lambda: service.delete(made["id"])), (400, lambda: service.create({"title": "x"})), (400, lambda: service.search({})), (400, lambda: service.create({"title": "x", "url": "y", "abstract": "z"}, lang="de"))):
         with pytest.raises(Failure) as e:
             call()
