@@ -95,7 +95,7 @@ def dictionary_sizes(stats: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """dictionary: (prop, term) of all terms, with repeats, where term_stats has not all of them; else None."""
+    """dictionary: (prop, term) of all terms that a tolerant search needs, where term_stats hasn't these; else None."""
 
     lengths: DataFrame
     postings: DataFrame

@@ -6,7 +6,6 @@ prunes row groups by `=`, `IN` and `startsWith`, and no join with the tokens is
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,41 +36,22 @@ def conditions(term: Column, tokens: list[str], mode: str, tolerance: int = 0) -
     return [fuzzy(term, t, tolerance) for t in tokens]
 
 
-def _head(t: int, token: str) -> Column:
-    """From the columns some, own, low and high of each beginning of the t-th token."""
-
-    def at(n: int) -> Column:
-        if n == 0:
-            return F.struct(F.lit(0).alias("n"), F.lit(True).alias("some"), F.lit(True).alias("node"))
-        parts = F.coalesce(F.col(f"low{t}_{n}") != F.col(f"high{t}_{n}"), F.lit(False))
-        return F.struct(F.lit(n).alias("n"), F.col(f"some{t}_{n}").alias("some"), (F.col(f"own{t}_{n}") | parts).alias("node"))
-
-    def last(which: Callable[[Column], Column]) -> Column:
-        return F.array_max(F.transform(F.filter(heads, which), lambda x: x["n"]))
-
-    heads = F.array(*(at(n) for n in range(len(token) + 1)))
-    reach = last(lambda x: x["some"])
-    above = last(lambda x: x["node"] & (x["n"] < reach))
-    ends = F.exists(heads, lambda x: x["node"] & (x["n"] == reach))
-    return F.when(reach == len(token), F.lit(token)).when(~ends, F.substring(F.lit(token), F.lit(1), above))
-
-
 def tree_prefixes(terms: DataFrame, tokens: list[str]) -> DataFrame:
     """(prop, token, head): below which prefix of the compressed prefix tree of the terms a tolerant search looks for candidates.
 
-    terms: prop, term, with or without repeats. No row where there are no candidates. The tree's nodes are the empty
-    string, the terms, and the prefixes behind which terms part. With L the longest beginning of the token that a term
-    has: if it is the whole token, it is the prefix; if it is a node, there is no such branch, so nothing; else the
-    longest node above it. One row a property is made of all terms before anything is shuffled.
+    terms: prop, term; of those that begin as no token does none is needed. No row where there are no candidates. The
+    tree's nodes are the empty string, the terms, and the prefixes behind which terms part. With L the longest beginning
+    of the token that a term has: if it is the whole token, it is the prefix; if it is a node, there is no such branch,
+    so nothing; else the longest node above it. A shorter beginning is a node just if some term has no more than that
+    in common with the token; so of all terms only these lengths are needed, a few rows a property and token.
     """
-    aggregates = []
-    for t, token in enumerate(tokens):
-        for n in range(len(token) + 1):
-            here = F.col("term").startswith(F.lit(token[:n]))
-            following = F.when(here & (F.length("term") > n), F.substring("term", n + 1, 1))
-            aggregates += [F.max(here).alias(f"some{t}_{n}"), F.max(F.col("term") == token[:n]).alias(f"own{t}_{n}"), F.min(following).alias(f"low{t}_{n}"), F.max(following).alias(f"high{t}_{n}")]
-    heads = [F.struct(F.lit(token).alias("token"), _head(t, token).alias("head")) for t, token in enumerate(tokens)]
-    return terms.groupBy("prop").agg(*aggregates).select("prop", F.inline(F.array(*heads))).filter("head is not null")
+    common = F.array(*(F.struct(F.lit(t).alias("token"), sum((prefix(F.col("term"), t[:n]).cast("int") for n in range(1, len(t) + 1)), F.lit(0)).alias("n")) for t in tokens))
+    rows = terms.select("prop", "term", F.inline(common)).filter("n > 0")
+    following = F.when(F.length("term") > F.col("n"), F.substring("term", F.col("n") + 1, F.lit(1)))
+    lengths = rows.groupBy("prop", "token", "n").agg((F.max(following.isNull()) | F.coalesce(F.min(following) != F.max(following), F.lit(False))).alias("node"))
+    lengths = lengths.groupBy("prop", "token").agg(F.max(F.struct("n", "node")).alias("last"), F.sort_array(F.collect_list("n"), asc=False).alias("n"))
+    head = F.when(F.col("last.n") == F.length("token"), F.col("token")).when(~F.col("last.node"), F.substring(F.col("token"), F.lit(1), F.coalesce(F.get("n", 1), F.lit(0))))
+    return lengths.select("prop", "token", head.alias("head")).filter("head is not null")
 
 
 def matches(table: DataFrame, tokens: list[str], mode: str, tolerance: int = 0, terms: DataFrame | None = None) -> DataFrame:

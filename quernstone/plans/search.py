@@ -31,19 +31,22 @@ def matching_index(analysed: DataFrame, tokens: list[str], mode: str, tolerance:
     """The part of an index that a search for these tokens needs, of documents that have none; computed in one pass without a shuffle.
 
     analysed: id, prop, tokens. Of each field its length is kept and its tokens that may match; only these are
-    made postings. The tree mode needs the whole dictionary besides, so its terms are read in a second pass.
+    made postings. The tree mode needs of the dictionary the terms that begin as a token does; these are kept besides.
     """
     if not tokens:
         kept = F.filter("tokens", lambda t: F.lit(False))
     else:
         # a query token itself counts for the document frequency, whatever the mode
         kept = F.filter("tokens", lambda t: reduce(lambda a, b: a | b, [t.isin(tokens), *match.conditions(t, tokens, mode, tolerance)]))
-    rows = materialised(analysed.select("id", "prop", F.size("tokens").alias("len"), kept.alias("kept")))
+    near = []
+    if mode == match.TREE and tokens:
+        near = [F.array_distinct(F.filter("tokens", lambda t: F.substring(t, 1, 1).isin(sorted({x[:1] for x in tokens})))).alias("near")]
+    rows = materialised(analysed.select("id", "prop", F.size("tokens").alias("len"), kept.alias("kept"), *near))
     # in the row itself: a field has few tokens that match
     counted = F.transform(F.array_distinct("kept"), lambda t: F.struct(t.alias("term"), F.size(F.filter("kept", lambda u: u == t)).alias("n")))
     postings = rows.filter(F.size("kept") > 0).select("id", "prop", "len", F.inline(counted)).select("prop", "term", "id", (F.col("n") / F.col("len")).alias("tf"), "len")
     lengths = rows.select("id", "prop", "len")
-    terms = analysed.select("prop", F.explode("tokens").alias("term")) if mode == match.TREE else None
+    terms = rows.select("prop", F.explode("near").alias("term")).distinct() if near else None
     return Index(lengths, postings, term_stats(postings), field_stats(lengths), terms)
 
 
