@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from quernstone.llm import exact_dedup as ex
@@ -58,6 +59,25 @@ def test_odd_rows(odd, none, table_bytes):
     assert ex.duplicates(none).count() == ex.distinct_documents(none).count() == 0
 
 
+def test_a_content_that_most_rows_have(spark):
+    rows = [(n if n % 5 else None, "the same " * 40 if n % 3 else f"other {n // 6}") for n in range(3000)]
+    random.Random(3).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for table_bytes in (ex.TABLE_BYTES, 3000):
+        assert got(ex.duplicates(docs, table_bytes=table_bytes)) == brute(rows)
+        assert ex.distinct_documents(docs, table_bytes=table_bytes).count() == len({t for _, t in rows})
+    # before they are shuffled, the copies of a task are one record
+    kept = list(ex._merged(iter([pa.record_batch({"h": pa.array([7] * 900), "content": pa.array([b"x"] * 900), "id": pa.array(range(899, -1, -1))})]), 10_000))
+    assert len(kept) == 1 and kept[0].num_rows == 1 and kept[0].column(2).to_pylist() == [0] and sorted(kept[0].column(3).to_pylist()[0]) == list(range(1, 900))
+
+
+def test_names_that_differ_in_case_or_have_dots(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (None, "c", "x"), (3, "a", "y")], "`a.b` long, TEXT string, text string")
+    assert got(ex.duplicates(docs, "a.b")) == [(2, 1), (None, 1)]
+    kept = ex.distinct_documents(docs, "a.b")
+    assert kept.columns == ["a.b", "TEXT", "text"] and sorted(map(tuple, kept.collect())) == [(1, "a", "x"), (3, "a", "y")]
+
+
 def test_same_as_sql(spark, table, same_as_sql):
     table("documents")
     same_as_sql(op4_exact_dedup(spark, "/root/testdata/sf0.01"), ORACLE_SQL["op4_exact_dedup"])
