@@ -9,14 +9,15 @@ strings, which are compared byte by byte. A text is searched in lanes, so that n
 moves thousands of cursors at once.
 
 Defined results:
-- A null or empty text contains nothing. Null or wordless items contain no test string.
+- A null or empty text contains nothing; a text of any length is searched whole. Null or wordless items contain no test string.
 - Repeated items, and items with strings in common, each count.
-- Ids may repeat; every row is searched. Empty tables give empty results.
+- Ids may repeat, as rows may; every row is searched. Empty tables give empty results.
 - Other columns don't matter to the search and are carried along by `clean_documents`.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.runtime import need
+from quernstone.llm.runtime import by_place, need, pick
 from quernstone.llm.textkit import WORD_BYTE, slices, utf8
 
 WINDOW = 8
 BLOCK = 8
 LANE = 512
-#: Bytes of test strings in one table, which is broadcast; more items are searched for in several passes.
-TABLE_BYTES = 32 << 20
+#: Bytes of the tables that are broadcast, with what Python needs for each string; more items are searched for in several passes.
+TABLE_BYTES, STRING_BYTES = 128 << 20, 250
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,7 +56,23 @@ def test_strings(items: list[tuple[object, str | None]], window: int = WINDOW) -
 
 
 class WuManber:
-    """Shift and bucket tables of the given byte strings."""
+    """Tables of the given byte strings, one for each class of lengths: a short string shortens the shifts of its own class only."""
+
+    def __init__(self, patterns: list[bytes]) -> None:
+        classes: dict[int, list[int]] = defaultdict(list)
+        for n, p in enumerate(patterns):
+            classes[min(len(p), 64).bit_length()].append(n)
+        self.tables = [(Table([patterns[n] for n in own]), own) for own in classes.values()]
+
+    def search(self, text: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, pattern number) of every occurrence in the bytes."""
+        for table, own in self.tables:
+            for start, k in table.search(text):
+                yield start, own[k]
+
+
+class Table:
+    """Shift and bucket tables of byte strings."""
 
     def __init__(self, patterns: list[bytes]) -> None:
         self.patterns = patterns
@@ -139,10 +156,10 @@ def _hits(column: pa.Array, engine: WuManber) -> Iterator[tuple[int, int, int]]:
 
 def _passes(benchmark: DataFrame, item_key: str, item_text: str, table_bytes: int) -> Iterator[list[tuple[object, str]]]:
     """Items in parts of bounded size: a benchmark above it takes several passes instead of one large broadcast."""
-    need(benchmark, item_key, item_text)
-    rows = benchmark.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-int(total) * WINDOW // table_bytes))
+    rows = pick(benchmark, item=item_key, text=item_text).filter("text is not null")
+    # a string begins at each word and has WINDOW of them
+    total = rows.agg(F.sum(F.size(F.split("text", " ")) * (STRING_BYTES + WINDOW * F.octet_length("text") / F.size(F.split("text", " "))))).first()[0] or 0
+    parts = max(1, math.ceil(total / table_bytes))
     for k in range(parts):
         part = [tuple(r) for r in (rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else rows).collect()]
         if any(normalise(t) for _, t in part):
@@ -151,7 +168,7 @@ def _passes(benchmark: DataFrame, item_key: str, item_text: str, table_bytes: in
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """For each row of docs and item with test strings in common: the document's id, the item's, and how many of the item's different strings occur."""
-    need(docs, key, text)
+    rows = pick(docs, key=key, text=text)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item_key, benchmark.schema[item_key].dataType), T.StructField("n_strings", T.LongType())])
     out = docs.sparkSession.createDataFrame([], schema)
     for part in _passes(benchmark, item_key, item_text, table_bytes):
@@ -165,10 +182,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
                     for item in owners[k]:
                         found[row, item].add(k)
                 if found:
-                    rows = pa.array([r for r, _ in found], pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([names[i] for _, i in found]), pa.array([len(s) for s in found.values()], pa.int64())], names=[key, item_key, "n_strings"])
+                    at = pa.array([r for r, _ in found], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([names[i] for _, i in found]), pa.array([len(s) for s in found.values()], pa.int64())], names=[key, item_key, "n_strings"])
 
-        out = out.union(docs.select(key, text).mapInArrow(run, schema))
+        out = out.union(rows.mapInArrow(run, schema))
     return out
 
 
@@ -188,6 +205,7 @@ def _is_clean(docs: DataFrame, tables: WuManber):
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """docs without the rows that contain a test string; all columns of docs."""
     need(docs, text)
+    rows, at = by_place(docs)
     for part in _passes(benchmark, item_key, item_text, table_bytes):
-        docs = docs.filter(_is_clean(docs, WuManber(list(test_strings(part, window))))(F.col(f"`{text}`")))
-    return docs
+        rows = rows.filter(_is_clean(docs, WuManber(list(test_strings(part, window))))(F.col(at[text])))
+    return rows.toDF(*docs.columns)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -70,6 +71,28 @@ def test_a_string_across_slices_of_a_very_long_text(spark):
     assert got(dc.occurrences(docs, items)) == [(1, 9, 1)]
 
 
+def test_a_short_string_does_not_slow_the_others():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    text = np.frombuffer(" ".join(rng.choice(words) for _ in range(300_000)).encode(), np.uint8)
+    long = [f" {' '.join(rng.choice(words) for _ in range(8))} ".encode() for _ in range(3000)]
+
+    def seconds(engine):
+        began = time.perf_counter()
+        return list(engine.search(text)), time.perf_counter() - began
+
+    alone, with_short = seconds(dc.WuManber(long)), seconds(dc.WuManber([*long, b" zz "]))
+    assert with_short[0] == alone[0] and with_short[1] < 10 * alone[1] + 2
+
+
+def test_names_that_differ_in_case_or_have_dots(spark):
+    docs = spark.createDataFrame([(1, "x", "one two three"), (2, "one two three", "x")], "`a.b` long, TEXT string, text string")
+    items = spark.createDataFrame([(5, "one two three", "no")], "`i.d` long, text string, TEXT string")
+    assert got(dc.occurrences(docs, items, "a.b", item_key="i.d")) == [(1, 5, 1)]
+    kept = dc.clean_documents(docs, items, item_key="i.d")
+    assert kept.columns == docs.columns and [r[0] for r in kept.collect()] == [2]
+
+
 def test_texts_dont_run_into_each_other(spark):
     docs = spark.createDataFrame([(1, "one two"), (2, "three"), (3, "one two three"), (4, "zone two threes")], "doc_id long, text string").coalesce(1)
     items = spark.createDataFrame([(5, "one two three")], "item_id long, text string")
