@@ -11,10 +11,10 @@ of copies to within one. The random numbers are hashes of ids: a task that runs
 
 Defined results:
 - A unit is an id and source; `rows` of them in docs have that many times the mass, and
-  copies are spread over such repeated rows evenly. A null id or source is one like any other.
+  copies are spread over such repeated rows evenly, those that are left over by the rows' hashes. A null id or source is one like any other.
 - A source without a weight, or with 0, gets no copies; a weight without documents is ignored.
 - An empty table, or no positive weight, gives an empty result.
-- A column `copies` in docs is replaced. Names that begin with `__quern_` are reserved.
+- A column `copies` in docs is replaced; others are carried along whatever their names are and however long. Names that begin with `__quern_` are reserved.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quernstone.llm.runtime import OWN, cut, hashed, need, small
+from quernstone.llm.runtime import OWN, by_place, cut, hashed, pick, small
 
 #: Weights are documents ** ALPHA where none are given: small sources count for more than their share.
 ALPHA = 0.5
@@ -119,9 +119,8 @@ def copies(docs: DataFrame, weights: dict[str | None, float] | None = None, tota
     weights: of sources, in any unit; None: documents ** ALPHA of each. total: copies of all
     sources together; None: as many as leave no source with less than one copy of each document on average.
     """
-    need(docs, key, source)
     spark = docs.sparkSession
-    units = cut(docs.groupBy(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source")).agg(F.count("*").alias("rows")))
+    units = cut(pick(docs, key=key, source=source).groupBy("key", "source").agg(F.count("*").alias("rows")))
     sizes = units.groupBy("source").agg(F.sum("rows").alias("n"))
     if weights is None:
         weighed = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(ALPHA)))
@@ -168,12 +167,15 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     k, s, m, c = (f"{OWN}{x}" for x in ("key", "source", "rows", "copies"))
     decided = copies(docs, weights, total, key, source, seed).toDF(k, s, m, c)
     many = cut(decided.filter(F.col(c) > 0))
-    docs = docs.drop("copies")
-    joined = docs.join(small(many), docs[f"`{key}`"].eqNullSafe(many[k]) & docs[f"`{source}`"].eqNullSafe(many[s]))
+    names = [c for c in docs.columns if c != "copies"]
+    rows, at = by_place(docs)
+    rows = rows.select(*(f"{OWN}{n}" for n, c in enumerate(docs.columns) if c != "copies"))
+    joined = rows.join(small(many), F.col(at[key]).eqNullSafe(many[k]) & F.col(at[source]).eqNullSafe(many[s]))
     if many.filter(F.col(m) > 1).isEmpty():
-        return joined.withColumn("copies", F.col(c)).drop(k, s, m, c)
+        return joined.select(*rows.columns, c).toDF(*names, "copies")
     # copies of repeated rows: the first few get one more
-    place = F.row_number().over(Window.partitionBy(k, s).orderBy(F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(k, s).orderBy(F.xxhash64(*rows.columns)))
     more = joined.filter(F.col(m) > 1).withColumn(f"{OWN}place", place)
-    more = more.withColumn("copies", F.expr(f"`{c}` div `{m}`") + F.when(F.col(f"{OWN}place") <= F.col(c) % F.col(m), 1).otherwise(0)).filter("copies > 0")
-    return joined.filter(F.col(m) == 1).withColumn("copies", F.col(c)).drop(k, s, m, c).unionByName(more.drop(k, s, m, c, f"{OWN}place"))
+    extra = F.when(F.col(f"{OWN}place") <= F.col(c) % F.col(m), 1).otherwise(0)
+    more = more.select(*rows.columns, (F.expr(f"`{c}` div `{m}`") + extra).alias(c)).filter(F.col(c) > 0)
+    return joined.filter(F.col(m) == 1).select(*rows.columns, c).union(more).toDF(*names, "copies")

@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import mixing
 from quernstone.llm.queries import op7_mixing
@@ -80,6 +81,62 @@ def test_repeated_rows_share_their_copies(spark):
     assert sum(own) in (7, 8) and max(own) - min(own) <= 1
 
 
+def plain(rows, weights, total, seed):
+    """The same by one list after the other: of each source in one partition, in order of hashes, whoever goes on."""
+    sizes = Counter(s for _, s, *_ in rows)
+    scale, out = total / sum(weights[s] for s in sizes), {}
+    for source in sizes:
+        own = sorted((h, k, u) for k, s, h, u in rows if s == source)
+        rate = scale * weights[source] / sizes[source]
+        base, p = math.floor(rate + mixing.TINY), rate - math.floor(rate + mixing.TINY)
+        go = None
+        for _, k, u in own:
+            out[k, source] = base
+            if not mixing.TINY < p < 1 - mixing.TINY:
+                continue
+            if go is None:
+                go = (k, p)
+                continue
+            j, q = go
+            if p + q < 1 - mixing.TINY:
+                go = (k if u * (p + q) < p else j, p + q)
+            elif p + q > 1 + mixing.TINY:
+                win, go = (j, (k, p + q - 1)) if u * (2 - p - q) < 1 - p else (k, (j, p + q - 1))
+                out[win, source] = out.get((win, source), base) + 1
+            else:
+                win, go = (k if u < p else j), None
+                out[win, source] = out.get((win, source), base) + 1
+        if go is not None:
+            yield source, go
+    yield None, out
+
+
+def test_same_as_brute_force_in_one_partition(spark):
+    rows = [(n, f"s{n % 3}") for n in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").coalesce(1)
+    weights, total, seed = {"s0": 2.0, "s1": 1.0, "s2": 0.4}, 170.0, 5
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("u"), "doc_id", "source"), 11).cast("double") + 0.5) / float(1 << 53)
+    last = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("last"), "source"), 11).cast("double") + 0.5) / float(1 << 53)
+    given = docs.select("doc_id", "source", F.xxhash64(F.lit(7919), "doc_id"), u, last).collect()
+    *left, (_, wanted) = plain([tuple(r)[:4] for r in given], weights, total, seed)
+    of = {r.source: r[4] for r in given}
+    for source, (k, q) in left:
+        wanted[k, source] += of[source] < q
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {(k, s): c for k, s, _, c in copies(docs, weights=weights, total=total, seed=seed)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == wanted
+
+
+def test_names_and_repeated_rows_with_other_texts(spark):
+    docs = spark.createDataFrame([(1, "a", f"t{n}", n, "old") for n in range(5)] + [(2, "a", "t", 0, "old")], "`a.b` long, source string, SOURCE string, COPIES long, copies string")
+    outs = [sorted(map(tuple, mixing.mix(d, total=9, key="a.b").collect())) for d in (docs, docs.repartition(3))]
+    assert outs[0] == outs[1] and sum(r[-1] for r in outs[0]) == 9
+    assert mixing.mix(docs, key="a.b").columns == ["a.b", "source", "SOURCE", "COPIES", "copies"]
+
+
 def test_documents(spark, table):
     rows = [(r.doc_id, r.source) for r in table("documents").select("doc_id", "source").collect()]
     check(rows, got=[tuple(r) for r in op7_mixing(spark, "/root/testdata/sf0.01").collect()])
