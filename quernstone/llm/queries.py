@@ -82,7 +82,7 @@ ORACLE_SQL = {
         ),
         urls AS (
             SELECT page_id, url,
-                lower(rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.')) AS host,
+                lower(rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#@]*\\]|[^/?#:@]+)', 1), '.')) AS host,
                 list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS segments
             FROM pages
         ),

@@ -43,6 +43,30 @@ def test_same_as_brute_force(spark, table):
     check([(r.doc_id, r.source) for r in got], got=[(r.doc_id, r.source, 1, r.copies) for r in got])
 
 
+def test_what_each_stage_does_to_odd_rows(spark, odd, tmp_path):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    spark.createDataFrame([(1, 1), (8, 0), (7, 0), (9, 0), (None, 1), (99, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "several rows have, word for word, and nothing besides"), (2, None), (3, "...")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    same = [r for r in rows if r[1] and r[1].startswith("one text")]
+    assert len(same) == 4
+    stages = dict(cp.STAGES)
+
+    def kept(name):
+        return sorted(map(repr, stages[name](spark, docs, str(tmp_path)).select(*docs.columns).collect()))
+
+    def wanted(which):
+        return sorted(repr(r) for r in docs.collect() if which(tuple(r)))
+
+    good = {repr(r) for r in stages["quality classifier"](spark, docs, str(tmp_path)).collect()}
+    assert all((repr(r) in good) == (r[1] is not None and r[1].startswith("one text")) for r in docs.collect() if r[1] is None or len(r[1]) < 3 or r[1].startswith("one text"))
+    assert [r[0] for r in sorted(stages["exact dedup"](spark, docs, str(tmp_path)).collect(), key=lambda r: r.doc_id)] == [1, 3, 5, 7, 8, 9]
+    assert kept("SimHash near-dedup") == wanted(lambda r: r not in same or r[0] == 1)
+    assert kept("benchmark decontamination") == wanted(lambda r: r not in same)
+    mixed = stages["mixing"](spark, docs, str(tmp_path))
+    assert sorted(map(repr, mixed.select(*docs.columns).collect())) == wanted(lambda r: True) and mixed.filter("copies < 1").count() == 0
+
+
 @pytest.mark.parametrize("nth", range(len(cp.STAGES)))
 def test_odd_documents_go_through_every_stage(spark, odd, none, tmp_path, nth, table):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")

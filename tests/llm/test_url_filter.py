@@ -30,13 +30,13 @@ def made():
     return entries, [*urls, None, "", "no url", "http://", "http:///p", "mailto:a@b", "http://./p"]
 
 
-@pytest.mark.parametrize("max_entries", [uf.MAX_ENTRIES, 3])
-def test_same_as_brute_force(spark, max_entries):
+@pytest.mark.parametrize("max_bytes", [uf.MAX_BYTES, 3])
+def test_same_as_brute_force(spark, max_bytes):
     entries, urls = made()
     pages = spark.createDataFrame([(n // 2, u, "x", "x") for n, u in enumerate(urls)] + [(None, urls[0], "x", None)] * 2, "page_id long, url string, entry string, decision string")
     table = spark.createDataFrame([*entries, (None, "block"), ("example", None), ("example", "perhaps")], "entry string, decision string")
     wanted = [(n // 2, *brute(u, entries)) for n, u in enumerate(urls)] + [(None, *brute(urls[0], entries))] * 2
-    got = [tuple(r) for r in uf.decisions(pages, table, max_entries=max_entries).collect()]
+    got = [tuple(r) for r in uf.decisions(pages, table, max_bytes=max_bytes).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, wanted))
 
 
@@ -47,6 +47,14 @@ def test_the_longest_match_decides():
     assert decide("http://a.sub.example.org/x") == "allow" and decide("http://both.org") == "block" and decide("http://notexample.org") is None
 
 
+def test_addresses_long_urls_and_odd_names(spark):
+    entries = spark.createDataFrame([("[2001:db8::1]", "block"), ("a.b", "block"), ("a.b/" + "x/" * 999 + "x", "allow")], "entry string, decision string")
+    urls = ["http://[2001:db8::1]:8080/p", "http://[2001:db8::2]/", "http://a.b/" + "x/" * 50_000, "http://a.b/" + "y" * 1_000_000]
+    pages = spark.createDataFrame([(n, "no", u) for n, u in enumerate(urls)], "`a.b` long, URL string, url string")
+    for most in (uf.MAX_BYTES, 3):
+        assert [r.decision for r in uf.decisions(pages, entries, "a.b", max_bytes=most).orderBy("`a.b`").collect()] == ["block", "allow", "allow", "block"]
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     entries = spark.createDataFrame([("a.b", "block")], "entry string, decision string")
