@@ -145,8 +145,8 @@ def _hits(column: pa.Array, engine: WuManber) -> Iterator[tuple[int, int, int]]:
     raw, offsets = utf8(column, lower=True)
     i, n = 0, len(offsets) - 1
     while i < n:
-        # whole texts of some MB at a time; one text above that by itself
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (4 << 20), side="right")) - 1)
+        # whole texts of about 1 MB at a time; one text above that by itself
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), side="right")) - 1)
         flat, begin = _flatten(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         for start, k in engine.search(flat):
             row = int(np.searchsorted(begin, start, side="right")) - 1
