@@ -204,7 +204,8 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = rows.withColumn("h", F.xxhash64(at[text]))
     repeated, folder = _repeated(rows), shared_dir(docs.sparkSession)
     single = rows.join(repeated, "h", "left_anti").select(*rows.columns[:-1])
-    several = rows.join(repeated, "h", "left_semi").select("h", F.col(at[text]).cast("binary").alias("content"), F.col(at[key]).alias("id"), *rows.columns[:-1])
+    others = [c for c in rows.columns[:-1] if c not in (at[text], at[key])]
+    several = rows.join(repeated, "h", "left_semi").select("h", F.col(at[text]).cast("binary").alias("content"), F.col(at[key]).alias("id"), *others)
     order = F.col("id").asc_nulls_last()
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in several.schema.fields])
     several = several.sortWithinPartitions(order).mapInArrow(lambda batches: _firsts(batches, table_bytes), schema)
@@ -212,7 +213,8 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, stay, _ in _grace(batches, 0, table_bytes, folder):
             if stay:
-                yield batch.select(batch.schema.names[3:]).take(pa.array(stay, pa.int64()))
+                yield batch.select(batch.schema.names[1:]).take(pa.array(stay, pa.int64()))
 
-    kept = several.repartition("h").sortWithinPartitions(order).mapInArrow(run, T.StructType(schema.fields[3:]))
-    return single.union(kept).toDF(*docs.columns)
+    kept = several.repartition("h").sortWithinPartitions(order).mapInArrow(run, T.StructType(schema.fields[1:]))
+    back = {at[text]: F.col("content").cast(docs.schema[text].dataType), at[key]: F.col("id")}
+    return single.union(kept.select(*(back.get(c, F.col(c)).alias(c) for c in rows.columns[:-1]))).toDF(*docs.columns)
