@@ -15,8 +15,9 @@
    polarity and the lowest threshold; there, the seeds come from other documents than those scored (FOLDS folds).
 
 A word is known by a 64-bit hash of its lower-cased form. Counts, graph and walks are tables; the driver holds the
-labelled sample, the vocabulary's hashes and the lexicon. The vocabulary is broadcast, 8 bytes a word: if more than
-MAX_WORDS words stand beside toxic terms, those that do in most documents are in it.
+labelled sample, the lexicon, and the hashes of the held vocabulary, which is broadcast, 8 bytes a word: if more than
+MAX_WORDS words stand beside toxic terms, those that do in most documents. All others are a table, which the words of the
+documents are joined with; the result is the same.
 
 Defined results:
 - A null, empty or wordless text scores 0. Null labels and labels of unknown documents are ignored; of several
@@ -45,7 +46,7 @@ MAX_LABELLED = 12000
 REACH = 5
 #: Words are in the vocabulary if they stand within so many words of a toxic seed in so many documents.
 BESIDE, LEAST_BESIDE = 10, 3
-#: Bound of the words that are in the vocabulary for that.
+#: Bound of the words that are held (on the driver and broadcast) for that; further ones are a table.
 MAX_WORDS = 8_000_000
 #: So many of the words that most documents have are in the vocabulary whatever they stand beside: walks go on through them.
 COMMON = 3000
@@ -216,34 +217,91 @@ def word_counts(docs: DataFrame, anchors: np.ndarray, text: str) -> DataFrame:
     return cut(counts.groupBy("word").agg(F.sum("df").alias("df"), F.sum("beside").alias("beside")))
 
 
-def vocabulary(counts: DataFrame, terms: np.ndarray, max_words: int = MAX_WORDS, common: int = COMMON) -> np.ndarray:
-    """Sorted hashes of the given terms that occur, of the most common words, and of the words that surely stand beside anchors more than words do on the whole."""
-    spark = counts.sparkSession
-    given = spark.createDataFrame(pa.table({"word": pa.array(np.unique(terms).view(np.int64))}))  # of the sample, so bounded
+def beside_words(counts: DataFrame) -> DataFrame:
+    """(word, df, beside) of the words that surely stand beside anchors more than words do on the whole."""
     share = counts.agg((F.sum("beside") / F.sum("df")).alias("share")).first()["share"] or 0.0
     of, p = F.col("df"), F.col("beside") / F.col("df")
     surely = (p + 2 / of - 2 * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / of + 1 / (of * of))) / (1 + 4 / of)  # wilson(beside, df, 2.0)
-    beside = counts.filter((F.col("beside") >= LEAST_BESIDE) & (surely > share)).orderBy(F.desc("beside"), "word").limit(max_words)
+    return counts.filter((F.col("beside") >= LEAST_BESIDE) & (surely > share))
+
+
+def vocabulary(counts: DataFrame, terms: np.ndarray, max_words: int = MAX_WORDS, common: int = COMMON) -> np.ndarray:
+    """The held vocabulary: sorted hashes of the given terms that occur, of the most common words, and of the words beside anchors.
+
+    Of these it has the max_words ones beside anchors in most documents; `beyond` has all others.
+    """
+    spark = counts.sparkSession
+    given = spark.createDataFrame(pa.table({"word": pa.array(np.unique(terms).view(np.int64))}))  # of the sample, so bounded
+    beside = beside_words(counts).orderBy(F.desc("beside"), "word").limit(max_words)
     found = counts.join(F.broadcast(given), "word", "left_semi").select("word").union(beside.select("word")).union(counts.orderBy(F.desc("df"), "word").limit(common).select("word")).distinct().toArrow()
     return np.unique(found["word"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def cooccurrences(docs: DataFrame, vocab: np.ndarray, text: str, reach: int = REACH) -> DataFrame:
+def beyond(counts: DataFrame, vocab: np.ndarray, max_words: int = MAX_WORDS) -> DataFrame | None:
+    """(word, place) of the words beside anchors that aren't held: their places follow those of vocab; kept in the shared folder. None if all are held."""
+    if len(vocab) < max_words:  # so few that none was left out
+        return None
+    found = beside_words(counts)
+    if found.count() <= max_words:
+        return None
+    held = counts.sparkSession.createDataFrame(pa.table({"word": pa.array(vocab.view(np.int64))}))
+    found = cut(found.select("word").join(held, "word", "left_anti"))
+    sizes = dict(found.groupBy(F.spark_partition_id().alias("part")).count().collect())
+    places, first = [], len(vocab)
+    for part in sorted(sizes):
+        places += [F.lit(part), F.lit(first).cast("long")]
+        first += sizes[part]
+    in_part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return cut(found.select("word", (F.element_at(F.create_map(*places), F.spark_partition_id()) + in_part).alias("place"))) if sizes else None
+
+
+def words_beyond(texts: DataFrame, vocab: np.ndarray, rest: DataFrame) -> DataFrame:
+    """texts (key, text; key: a hash of text), with the (word, place) of rest that texts of the key have, or null, as `further`."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for rows, h in distinct_words(batch.column(1)):
+                other = held[np.minimum(np.searchsorted(held, h), len(held) - 1)] != h
+                yield from _batches([(keys[rows[other]], h[other])], ["key", "word"])
+
+    found = texts.mapInArrow(run, "key long, word long").join(small(rest), "word")
+    return texts.join(found.groupBy("key").agg(F.collect_set(F.struct("word", "place")).alias("further")), "key", "left")
+
+
+def cooccurrences(docs: DataFrame, vocab: np.ndarray, text: str, reach: int = REACH, rest: DataFrame | None = None) -> DataFrame:
     """(a, b, times), a <= b: how often vocabulary words stand within `reach` vocabulary words of one another, over all documents.
 
-    vocab: sorted; words are their places in it. Kept in the shared folder.
+    vocab: sorted; words are their places in it. rest: further (word, place), if any. Kept in the shared folder.
     """
-    v = len(vocab)
+    held, texts = len(vocab), pick(docs, text=text)
+    v = held + (rest.count() if rest is not None else 0)
+    if v * v >= 1 << 63:
+        raise ValueError(f"{v} words are too many to number pairs of them")
+    if rest is not None:
+        texts = words_beyond(texts.filter("text is not null").select(F.xxhash64("text").alias("key"), "text"), vocab, rest).select("text", "further")
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted, known_words = Counted(), shared.value
         for batch in batches:
             own, tail = -1, np.zeros(0, np.int64)
+            if batch.num_columns > 1:
+                ends, further = batch.column(1).offsets.to_numpy(), batch.column(1).values
+                further_words, further_places = further.field(0).to_numpy().view(np.uint64), further.field(1).to_numpy()
             for part, bounds, rows in slices(*utf8(batch.column(0), lower=True)):
                 h, _, piece = words(part, bounds)
-                at = np.minimum(np.searchsorted(known_words, h), v - 1)
+                at = np.minimum(np.searchsorted(known_words, h), held - 1)
                 known = known_words[at] == h
+                if batch.num_columns > 1:  # what one of these texts has is in the vocabulary for all of them
+                    of_these = slice(ends[rows[0]], ends[rows[-1] + 1])
+                    more, first = np.unique(further_words[of_these], return_index=True)
+                    if len(more):
+                        n = np.minimum(np.searchsorted(more, h), len(more) - 1)
+                        at = np.where(known, at, further_places[of_these][first][n])
+                        known |= more[n] == h
                 at, piece, old = at[known], piece[known], 0
                 if len(rows) == 1 and rows[0] == own:  # goes on in the same text
                     at, old = np.concatenate([tail, at]), len(tail)
@@ -259,7 +317,7 @@ def cooccurrences(docs: DataFrame, vocab: np.ndarray, text: str, reach: int = RE
                 yield from _batches(counted.add(*np.unique(np.concatenate(codes), return_counts=True)), ["code", "times"])
         yield from _batches(counted.rest(), ["code", "times"])
 
-    counts = pick(docs, text=text).mapInArrow(run, "code long, times long").groupBy("code").agg(F.sum("times").alias("times"))
+    counts = texts.mapInArrow(run, "code long, times long").groupBy("code").agg(F.sum("times").alias("times"))
     a = F.expr(f"code div {v}")
     return cut(counts.select(a.alias("a"), (F.col("code") - a * v).alias("b"), "times"))
 
@@ -291,12 +349,17 @@ def walk(graph: DataFrame, starts: DataFrame, damping: float = DAMPING, steps: i
     return now
 
 
-def polarities(graph: DataFrame, vocab: np.ndarray, seeds: list[tuple[np.ndarray, np.ndarray]], least: float = POLARITIES[0]) -> tuple[np.ndarray, np.ndarray]:
+def polarities(graph: DataFrame, vocab: np.ndarray, seeds: list[tuple[np.ndarray, np.ndarray]], least: float = POLARITIES[0], rest: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, polarity of each for every pair of toxic and neutral seeds) of the words that have at least that polarity for some pair."""
     spark = graph.sparkSession
     columns = {f"{kind}{k}": own for k, pair in enumerate(seeds) for kind, own in zip(("t", "n"), pair)}
-    seeded = np.flatnonzero(np.isin(vocab, np.concatenate(list(columns.values()))))  # of the sample, so bounded
-    start = {name: np.isin(vocab[seeded], own) for name, own in columns.items()}
+    asked = np.unique(np.concatenate(list(columns.values())))  # of the sample, so bounded
+    seeded = np.flatnonzero(np.isin(vocab, asked))
+    seeds_at = vocab[seeded]
+    if rest is not None:  # seeds of a fold needn't be seeds of all, so some may not be held
+        more = rest.join(F.broadcast(spark.createDataFrame(pa.table({"word": pa.array(asked.view(np.int64))}))), "word").select("word", "place").toArrow()
+        seeded, seeds_at = np.append(seeded, more["place"].to_numpy()), np.append(seeds_at, more["word"].to_numpy().view(np.uint64))
+    start = {name: np.isin(seeds_at, own) for name, own in columns.items()}
     first = {name: x / max(1, x.sum()) for name, x in start.items()}
     starts = spark.createDataFrame(pa.table({"node": pa.array(seeded.astype(np.int64)), **{c: pa.array(x) for c, x in first.items()}}))
     reached = walk(graph, starts).join(F.broadcast(starts.toDF("node", *(f"s{c}" for c in columns))), "node", "left")
@@ -309,8 +372,12 @@ def polarities(graph: DataFrame, vocab: np.ndarray, seeds: list[tuple[np.ndarray
         return F.round(p if first[f"t{k}"].any() else F.lit(0.0), 6).alias(f"p{k}")
 
     got = reached.select("node", *(polarity(k) for k in range(len(seeds))))
-    got = got.filter(F.greatest(*(F.col(f"p{k}") for k in range(len(seeds))), F.lit(-1.0)) >= least).toArrow().sort_by("node")
-    return vocab[got["node"].to_numpy()], np.stack([got[f"p{k}"].to_numpy() for k in range(len(seeds))])
+    got = got.filter(F.greatest(*(F.col(f"p{k}") for k in range(len(seeds))), F.lit(-1.0)) >= least)
+    got = (got.withColumn("word", F.lit(0)) if rest is None else got.join(small(rest.withColumnRenamed("place", "node")), "node", "left").fillna(0, ["word"])).toArrow()
+    node, other = got["node"].to_numpy(), got["word"].to_numpy().astype(np.int64).view(np.uint64)
+    word = np.where(node < len(vocab), vocab[np.minimum(node, len(vocab) - 1)], other)
+    order = np.argsort(word)
+    return word[order], np.stack([got[f"p{k}"].to_numpy()[order] for k in range(len(seeds))])
 
 
 @dataclass
@@ -330,7 +397,7 @@ class Lexicon:
         return np.bincount(rows[known], weights=self.polarity[at[known]], minlength=n)
 
 
-def induce(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Lexicon:
+def induce(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS) -> Lexicon:
     need(docs, key, text)
     need(labels, label_key, label)
     sample = labelled_sample(docs, labels, key, text, label_key, label, max_labelled)
@@ -339,12 +406,14 @@ def induce(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     if not len(toxic):
         return empty
     anchors = np.union1d(toxic, likely)
-    vocab = vocabulary(word_counts(docs, anchors, text), np.union1d(anchors, neutral))
+    counts = word_counts(docs, anchors, text)
+    vocab = vocabulary(counts, np.union1d(anchors, neutral), max_words)
     if not len(vocab):
         return empty
-    graph = ppmi(cooccurrences(docs, vocab, text))
+    rest = beyond(counts, vocab, max_words)
+    graph = ppmi(cooccurrences(docs, vocab, text, rest=rest))
     # each document is scored by the lexicon of the other folds, or its own words would seem to tell more than they do
-    word, polarity = polarities(graph, vocab, [(toxic, neutral), *(sample.without(fold).seeds()[:2] for fold in range(FOLDS))])
+    word, polarity = polarities(graph, vocab, [(toxic, neutral), *(sample.without(fold).seeds()[:2] for fold in range(FOLDS))], rest=rest)
     cross = np.zeros((len(POLARITIES), len(sample.toxic)))
     for fold in range(FOLDS):
         own = np.arange(len(sample.toxic)) % FOLDS == fold

@@ -170,3 +170,37 @@ def test_rare_words_without_labels_get_polarity_beside_seeds(spark):
     assert {*word_hashes("nasty vile").tolist()} <= {*polarity}
     got = {r.doc_id: r.score for r in toxicity.scores(docs, lexicon).collect()}
     assert got[797] > 0 and got[799] == 0
+
+
+def test_words_that_are_not_held_count_as_those_that_are(spark):
+    rng = random.Random(8)
+    texts = [*letters(5), *[f"x k{n} m{n} b k{n}" for n in range(4)] * 8, "p q", None]
+    texts.append(" ".join(rng.choice(["a", "b", "e", "k1", "k2", "m0", "m3", "p"]) for _ in range(1_300_000)))  # 2.9 MB, three pieces
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = toxicity.word_counts(docs, word_hashes("x"), "text").cache()
+    terms = word_hashes("p b")
+    whole = toxicity.vocabulary(counts, terms, common=0)
+    assert toxicity.beyond(counts, whole) is None
+    held = toxicity.vocabulary(counts, terms, max_words=1, common=0)
+    rest = toxicity.beyond(counts, held, max_words=1)
+    further = {r.place: np.uint64(r.word % (1 << 64)) for r in rest.collect()}
+    assert len(held) < len(whole) - 2 and sorted(further) == [*range(len(held), len(whole))]
+    assert sorted([*held.tolist(), *(int(h) for h in further.values())]) == whole.tolist()
+    word = dict(enumerate(held)) | further
+    graph = toxicity.cooccurrences(docs, held, "text", rest=rest)
+    got = Counter({tuple(sorted(int(np.searchsorted(whole, word[x])) for x in (r.a, r.b))): r.times for r in graph.collect()})
+    assert got == pair_counts(texts, whole)
+    seeds = [(word_hashes("b"), word_hashes("p zz")), (word_hashes("k1 m1"), word_hashes("k2 m2 b"))]  # held ones, and others
+    some = toxicity.polarities(toxicity.ppmi(graph), held, seeds, least=-1.0, rest=rest)
+    all_held = toxicity.polarities(toxicity.ppmi(toxicity.cooccurrences(docs, whole, "text")), whole, seeds, least=-1.0)
+    assert some[0].tolist() == all_held[0].tolist() and np.abs(some[1] - all_held[1]).max() < 1e-5
+
+
+def test_lexicon_is_the_same_however_many_words_are_held(spark, table, monkeypatch):
+    docs, labels = table("documents"), table("labels")
+    want, beyond, rest = toxicity.induce(docs, labels), toxicity.beyond, []
+    monkeypatch.setattr(toxicity, "beyond", lambda *a: rest.append(beyond(*a)) or rest[-1])
+    got = toxicity.induce(docs, labels, max_words=1)
+    assert rest[0].count() > 0
+    assert got.word.tolist() == want.word.tolist() and len(got.word)
+    assert np.abs(got.polarity - want.polarity).max() < 1e-5 and abs(got.threshold - want.threshold) < 1e-4
