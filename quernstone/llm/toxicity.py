@@ -34,12 +34,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.llm.runtime import cut, need, one_text, pick, sample_by_hash, small
-from quernstone.llm.textkit import distinct_words, slices, splitmix, utf8, words
+from quernstone.llm.textkit import SLICE_BYTES, distinct_words, slices, splitmix, utf8, words
 
 #: Bound of the labelled sample for seeds and threshold.
 MAX_LABELLED = 12000
@@ -168,31 +169,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
 
 
 class Counted:
-    """Counts by key that a task adds up before it sends them; in parts if they are many."""
+    """Counts by key that a task adds up before it sends them; in parts if they are many.
 
-    def __init__(self, most: int = 4_000_000) -> None:
-        self.held: list[tuple[np.ndarray, ...]] = []
-        self.size, self.most = 0, most
+    Two workers share an executor's memory with its JVM: a merge makes no more copies than it needs, and is of `more` new keys at a time.
+    """
+
+    def __init__(self, most: int = 2_000_000, more: int = 1_000_000) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []  # sorted different keys first, then what isn't merged yet
+        self.size, self.most, self.more = 0, most, more
 
     def add(self, keys: np.ndarray, *counts: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         """What has to be sent now."""
         self.held.append((keys, *counts))
         self.size += len(keys)
-        if self.size <= self.most:
+        if self.size <= self.more:
             return []
-        own = self.rest()
-        if len(own[0][0]) > self.most // 2:  # so many are added up by the shuffle
-            return own
-        self.held, self.size = own, len(own[0][0])
-        return []
+        self.held, self.size = self.rest(), 0
+        return self.rest() if len(self.held[0][0]) > self.most else []  # so many are added up by the shuffle
 
     def rest(self) -> list[tuple[np.ndarray, ...]]:
-        if not self.held:
-            return []
-        keys, *counts = (np.concatenate(x) for x in zip(*self.held))
-        keys, inverse = np.unique(keys, return_inverse=True)
-        self.held, self.size = [], 0
-        return [(keys, *(np.bincount(inverse, weights=c).astype(np.int64) for c in counts))]
+        if len(self.held) > 1:
+            columns = [*zip(*self.held)][::-1]
+            self.held = []
+            keys = np.concatenate(columns.pop())
+            order = np.argsort(keys, kind="stable")  # fast for runs that are sorted
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            merged = [keys[first]]
+            del keys
+            while columns:
+                c = np.concatenate(columns.pop())[order]
+                merged.append(np.add.reduceat(c, first) if len(first) else c)
+            self.held = [tuple(merged)]
+        own, self.held, self.size = self.held, [], 0
+        return own
 
 
 def _batches(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +211,24 @@ def _batches(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)].view(np.int64)) for x in part], names=names)
 
 
+def thin(batches: Iterator[pa.RecordBatch], most: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches whose first column is text, so many bytes of it at a time, or one longer text: it is lower-cased as a whole."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def word_counts(docs: DataFrame, anchors: np.ndarray, text: str) -> DataFrame:
     """(word, df, beside) of every word: in how many documents it is, and stands beside an anchor; kept in the shared folder."""
     anchors = np.unique(anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = Counted()
-        for batch in batches:
+        for batch in thin(batches):
             for h, beside in distinct_words_beside(batch.column(0), anchors):
                 h, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
                 yield from _batches(counted.add(h, df, np.bincount(inverse, weights=beside).astype(np.int64)), ["word", "df", "beside"])
@@ -286,7 +307,7 @@ def cooccurrences(docs: DataFrame, vocab: np.ndarray, text: str, reach: int = RE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted, known_words = Counted(), shared.value
-        for batch in batches:
+        for batch in thin(batches):
             own, tail = -1, np.zeros(0, np.int64)
             if batch.num_columns > 1:
                 ends, further = batch.column(1).offsets.to_numpy(), batch.column(1).values

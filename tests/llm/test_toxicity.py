@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quernstone.llm import toxicity
@@ -204,3 +206,33 @@ def test_lexicon_is_the_same_however_many_words_are_held(spark, table, monkeypat
     assert rest[0].count() > 0
     assert got.word.tolist() == want.word.tolist() and len(got.word)
     assert np.abs(got.polarity - want.polarity).max() < 1e-5 and abs(got.threshold - want.threshold) < 1e-4
+
+
+def test_counts_are_added_up_in_little_memory():
+    rng = np.random.default_rng(3)
+    for keys, sent in ((1_500_000, 1), (1 << 40, 2)):  # few different ones: one part; all different: several
+        parts = [np.unique(rng.integers(0, keys, 400_000), return_counts=True) for _ in range(12)]
+        counted, got = toxicity.Counted(), []
+        tracemalloc.start()
+        for own, n in parts:
+            got += counted.add(own.copy(), n.copy(), 2 * n)
+        got += counted.rest()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 250e6 and len(got) >= sent
+        for part in got:
+            assert (np.diff(part[0]) > 0).all() and (part[2] == 2 * part[1]).all()
+        word, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        all_words, all_at = np.unique(np.concatenate([part[0] for part in got]), return_inverse=True)
+        assert (all_words == word).all()
+        assert (np.bincount(all_at, np.concatenate([part[1] for part in got])) == np.bincount(at, np.concatenate([n for _, n in parts]))).all()
+    assert toxicity.Counted().rest() == []
+
+
+def test_thin_batches_have_all_rows_and_bounded_text():
+    texts = [*["a b " * n for n in range(40)], None, "", "c" * 1000, None, "d", "e" * 99, "f"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["text", "n"])
+    got = [*toxicity.thin(iter([batch, batch.slice(3, 7), batch.slice(0, 0)]), most=100)]
+    assert [x for b in got for x in b.column(1).to_pylist()] == [*range(len(texts)), *range(3, 10)]
+    assert [x for b in got for x in b.column(0).to_pylist()] == texts + texts[3:10]
+    assert all(len(b) == 1 or sum(len(x or "") for x in b.column(0).to_pylist()) <= 100 for b in got) and len(got) < len(texts)
