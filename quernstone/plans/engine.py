@@ -12,6 +12,7 @@ import re
 import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +22,15 @@ from pyspark.sql import types as T
 from quernstone.errors import DocumentAlreadyExists, DocumentNotFound, DocumentsDiffer, PropertyNotSearchable
 from quernstone.functions.analyzer import LANGUAGES, analyze_text, check_language
 from quernstone.functions.scoring import DEFAULT_RELEVANCE, Relevance
-from quernstone.operators.index import Analysis, Index, check_properties, flatten, string_paths, tokenized
+from quernstone.operators.index import Analysis, Index, check_properties, few, field_stats, flatten, string_paths, tokenized
 from quernstone.operators.match import DOCUMENTED, TREE
 from quernstone.plans import search as plan
-from quernstone.storage import discard, exists, listed, materialised, touch
+from quernstone.storage import discard, exists, listed, materialised, stored, touch
 
 #: After so many changes the tables are written anew, else plans grow with their number.
 COMPACT_AFTER = 16
+#: A saved version is made up of so many at most; then it is written whole.
+MOST_PARTS = 16
 _VERSION = re.compile(r"v(\d{9})$")
 
 
@@ -54,11 +57,29 @@ class SearchResult:
         return hits.select(F.lit(self.count).cast("long").alias("count"), one.alias("hits"), F.lit(self.elapsed).cast("long").alias("elapsed"))
 
 
+@dataclass(frozen=True)
+class Saved:
+    """Versions in a folder that make up a state, together with documents that came since, and their index."""
+
+    folder: str
+    parts: tuple[int, ...]
+    documents: DataFrame | None = None
+    index: Index | None = None
+
+    def plus(self, documents: DataFrame, index: Index | None) -> Saved | None:
+        if index is None:
+            return None
+        if self.documents is None or self.index is None:
+            return replace(self, documents=documents, index=index)
+        return replace(self, documents=self.documents.unionByName(documents), index=self.index.plus(index))
+
+
 @dataclass(frozen=True)
 class State:
     documents: DataFrame | None = None
     index: Index | None = None
     changes: int = 0
+    saved: Saved | None = None
 
 
 class SearchEngine:
@@ -117,7 +138,7 @@ class SearchEngine:
                 raise DocumentsDiffer(f"the documents have further columns: {', '.join(extra)}")
             df = df.select(*(F.col(f"`{c}`") for c in here.names))
         # with an index documents are kept as they are now; without one they are read where they are
-        return materialised(df) if self.keep_index else df
+        return stored(df) if self.keep_index else df
 
     def _fields(self, df: DataFrame) -> DataFrame:
         return flatten(df, self.properties, self.id_col, "__lang")
@@ -130,9 +151,10 @@ class SearchEngine:
 
     def _changed(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> State:
         """The state after documents go (removed: their ids, different ones) and others come."""
-        documents, index = self.documents, self.index
+        documents, index, saved = self.documents, self.index, self._state.saved
         if removed is not None:
-            removed = materialised(removed)
+            saved = None
+            removed = few(materialised(removed))
             documents = documents.join(removed, self.id_col, "left_anti").select(*documents.columns)
             if index is not None:
                 index = index.without(removed.select(F.col(f"`{self.id_col}`").alias("id")))
@@ -140,11 +162,12 @@ class SearchEngine:
             own = self._index_of(added)
             documents = added if documents is None else documents.unionByName(added)
             index = own if index is None else index.plus(own)
+            saved = saved and saved.plus(added, own)
         changes = self._state.changes + 1
         if changes % COMPACT_AFTER == 0:
-            documents = materialised(documents)
-            index = index and Index.of(materialised(index.postings), materialised(index.lengths))
-        return State(documents, index, changes)
+            documents, saved = materialised(documents), None
+            index = index and Index.of(stored(index.postings), stored(index.lengths))
+        return State(documents, index, changes, saved)
 
     def _ids(self, df: DataFrame) -> DataFrame:
         return df.select(F.col(f"`{self.id_col}`"))
@@ -179,7 +202,7 @@ class SearchEngine:
             df = df.join(there, self.id_col, "left_anti").select(*df.columns)
             single = df.join(many, self.id_col, "left_anti").select(*df.columns)
             # of equal ids one document, the same one however often it is computed: it is written now
-            df = materialised(single.union(df.join(many, self.id_col, "left_semi").select(*df.columns).dropDuplicates([self.id_col])))
+            df = stored(single.union(df.join(many, self.id_col, "left_semi").select(*df.columns).dropDuplicates([self.id_col])))
         self._state = self._changed(df)
         return errors
 
@@ -282,16 +305,26 @@ class SearchEngine:
         """Writes documents and index as the next version in the folder, and goes on with that; the number of the version.
 
         A version counts once it is complete, so one that fails or is being written hides none, and what is read while
-        it is written stays. `vacuum` removes those before the last.
+        it is written stays. After documents were only added to what was saved or read there, the version has these alone and
+        names the earlier ones that go with it, `MOST_PARTS` at most; else it is whole. `vacuum` removes those that the last doesn't need.
         """
         if self.documents is None:
             raise ValueError("there is nothing to save")
         n = max(_versions(self.spark, folder, complete=False), default=0) + 1
         place = f"{folder}/v{n:09}"
         touch(self.spark, f"{place}/_BEGUN")  # fails if another has begun the same version
-        self.documents.write.mode("overwrite").parquet(f"{place}/documents")
-        index = self.index or Index.build(self._fields(self.documents), self._languages(self.documents), self.analysis)
-        index.write(f"{place}/index")
+        saved = self._state.saved
+        parts = saved.parts if saved and saved.folder == folder and len(saved.parts) < MOST_PARTS and {*saved.parts} <= {*_versions(self.spark, folder)} else ()
+        documents, index = (saved.documents, saved.index) if parts else (self.documents, self.index)
+        if parts and documents is None:
+            documents, index = self.documents.limit(0), Index.of(self.index.postings.limit(0), self.index.lengths.limit(0))
+        documents.write.mode("overwrite").parquet(f"{place}/documents")
+        index = index or Index.build(self._fields(documents), self._languages(documents), self.analysis)
+        if parts:
+            index = replace(index, field_stats=field_stats(self.index.lengths))
+        index.write(f"{place}/index", self.properties)
+        for k in parts:
+            touch(self.spark, f"{place}/_WITH-v{k:09}")
         touch(self.spark, f"{place}/_COMPLETE")
         return self._loaded(folder, n)
 
@@ -303,19 +336,21 @@ class SearchEngine:
         return self
 
     def _loaded(self, folder: str, n: int) -> int:
-        documents = self.spark.read.parquet(f"{folder}/v{n:09}/documents")
+        parts = _parts(self.spark, folder, n)
+        documents = reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{folder}/v{k:09}/documents") for k in parts))
         if not self.properties:
             own = [c for c in string_paths(documents.drop("__lang").schema) if c not in (self.id_col, self._lang if self._has_lang else None)]
             self.properties = own if self._given is None else check_properties(documents.schema, self._given)
-        self._state = State(documents, Index.read(self.spark, f"{folder}/v{n:09}/index"), self._state.changes)
+        self._state = State(documents, Index.read(self.spark, *(f"{folder}/v{k:09}/index" for k in parts)), self._state.changes, Saved(folder, parts))
         return n
 
     @staticmethod
     def vacuum(spark: SparkSession, folder: str) -> None:
-        """Removes all versions before the last complete one. No engine may be reading these any more."""
+        """Removes all versions before the last complete one but those that are part of it. No engine may be reading these any more."""
         last = max(_versions(spark, folder), default=0)
+        needed = _parts(spark, folder, last) if last else ()
         for n in _versions(spark, folder, complete=False):
-            if n < last:
+            if n < last and n not in needed:
                 discard(spark, f"{folder}/v{n:09}")
 
     def settings(self) -> dict[str, Any]:
@@ -328,6 +363,11 @@ class SearchEngine:
         return other
 
 
+def _parts(spark: SparkSession, folder: str, n: int) -> tuple[int, ...]:
+    """The versions that make up that one, itself at the end."""
+    return (*sorted(int(m[1]) for name in listed(spark, f"{folder}/v{n:09}") if name.startswith("_WITH-") and (m := _VERSION.search(name))), n)
+
+
 def _versions(spark: SparkSession, folder: str, complete: bool = True) -> list[int]:
     found = [int(m[1]) for name in listed(spark, folder) if (m := _VERSION.search(name))]
     return [n for n in found if not complete or exists(spark, f"{folder}/v{n:09}/_COMPLETE")]

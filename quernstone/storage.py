@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,3 +69,17 @@ def materialised(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Types that Parquet gives back as they were, nullable or not.
+_PLAIN = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As `materialised`, in Parquet: a tenth of the bytes, and what follows reads its own columns only. Tables with other than plain columns are checkpoints."""
+    if not all(isinstance(f.dataType, _PLAIN) or f.dataType == T.StringType() for f in df.schema.fields):
+        return materialised(df)
+    folder = new_folder(df.sparkSession, "table")
+    # by place: any names will do, and repeated ones
+    df.toDF(*(f"c{n}" for n in range(len(df.columns)))).write.parquet(folder)
+    return df.sparkSession.read.parquet(folder).toDF(*df.columns)

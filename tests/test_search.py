@@ -382,3 +382,86 @@ def test_streaming_ingest(spark, tmp_path):
         q = ingest(spark.readStream.schema("id string, name string, email string").parquet(f"{tmp_path}/in"), e, f"{tmp_path}/c{_}")
         q.awaitTermination(60)
     assert e.count == 10 and e.search("tom").count == 2
+
+
+def _grouped(rows, keys):
+    return {tuple(r) for r in rows.select(*keys, F.explode("tokens").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n")).collect()}
+
+
+def test_tokens_are_counted_in_rows_without_a_shuffle(spark):
+    rng = random.Random(11)
+    arrays = [[], ["a"], ["a", "a"], ["b", "a", "b"], *([rng.choice("abcdefé") * rng.randint(1, 2) for _ in range(rng.randint(0, 40))] for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(arrays)), "id long, tokens array<string>")
+    assert ix.repeated_ids(rows.select("id")) is None
+    got = ix.counted(rows, ["id"], None)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == _grouped(rows, ["id"]) and got.count() == len(_grouped(rows, ["id"]))
+    ends = ix.counted_in_rows(rows, ["id"], ends=True).filter("term is null")
+    assert sorted(r["id"] for r in ends.collect()) == list(range(len(arrays)))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_rows_of_repeated_ids_are_counted_together(spark, monkeypatch, most):
+    monkeypatch.setattr(ix, "BROADCAST_BYTES", most)
+    rows = spark.createDataFrame([(1, ["a", "b"]), (1, ["b", "c"]), (None, ["a"]), (None, ["a", "a"]), (2, ["a"]), (3, []), (3, [])], "id long, tokens array<string>")
+    repeated = ix.repeated_ids(rows.select("id"))
+    assert {r[0] for r in repeated.collect()} == {1, None, 3}
+    got = [tuple(r) for r in ix.counted(rows, ["id"], repeated).collect()]
+    assert len(got) == 5 and {*got} == _grouped(rows, ["id"]) == {(1, "a", 1), (1, "b", 2), (1, "c", 1), (None, "a", 3), (2, "a", 1)}
+
+
+def test_saving_after_an_insert_writes_what_came_since(spark, tmp_path, monkeypatch):
+    from quernstone.plans import engine as module
+
+    def words(n):
+        return [p for p in (tmp_path / "e" / f"v{n:09}" / "documents").iterdir() if p.name.endswith(".parquet")]
+
+    def of(n):
+        return spark.read.parquet(*map(str, words(n))).count()
+
+    folder = f"{tmp_path}/e"
+    e = SearchEngine(spark, frame(spark, enumerate(USERS[:5])), stemming=False, stop_words=False)
+    e.save(folder)
+    e.insert(frame(spark, [(5, USERS[5])]))
+    e.insert(frame(spark, [(6, (None, "tom"))]))
+    assert e.save(folder) == 2 and of(2) == 2
+    e = SearchEngine(spark, stemming=False, stop_words=False).load(folder)
+    assert e.save(folder) == 3 and of(3) == 0
+    SearchEngine.vacuum(spark, folder)
+    again = SearchEngine(spark, stemming=False, stop_words=False).load(folder)
+    whole = SearchEngine(spark, frame(spark, [*enumerate(USERS[:6]), (6, (None, "tom"))]), stemming=False, stop_words=False)
+    assert table(again) == table(whole) and again.count == 7
+    assert {tuple(r) for r in again.index.term_stats.collect()} == {tuple(r) for r in whole.index.term_stats.collect()}
+    for options in ({}, {"exact": True}, {"tolerance": 1}):
+        assert hits(again.search("tom davis", **options)) == hits(whole.search("tom davis", **options))
+    # whole again: after a change that removes, in another folder, and beyond so many parts
+    again.save(f"{tmp_path}/other")
+    assert not [p for p in (tmp_path / "other" / "v000000001").iterdir() if p.name.startswith("_WITH")]
+    monkeypatch.setattr(module, "MOST_PARTS", 3)
+    assert e.save(folder) == 4 and of(4) == 7
+    e.update(frame(spark, [(0, ("Tim", "t"))]))
+    assert e.save(folder) == 5 and of(5) == 7
+    SearchEngine.vacuum(spark, folder)
+    assert [p.name for p in (tmp_path / "e").iterdir()] == ["v000000005"]
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_deleting_few_ids_doesnt_shuffle_postings(spark, monkeypatch, most):
+    monkeypatch.setattr(ix, "BROADCAST_BYTES", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = SearchEngine(spark, frame(spark, enumerate(USERS)), stemming=False, stop_words=False)
+        e.delete(["3", "5"])
+        assert ("BroadcastHashJoin" in e.index.postings._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+        assert table(e) == table(SearchEngine(spark, frame(spark, [(k, v) for k, v in enumerate(USERS) if k not in (3, 5)]), stemming=False, stop_words=False))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tables_stored_are_as_they_were(spark):
+    from quernstone.storage import stored
+
+    odd = spark.sql("select 1 as a, 'x' as A, cast(null as string) as `b.c d`, double('nan') as `a`, array(1) as e")
+    for df in (odd, odd.drop("e")):
+        got = stored(df)
+        assert got.columns == df.columns and [f.dataType for f in got.schema] == [f.dataType for f in df.schema] and str(got.collect()) == str(df.collect())
