@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -41,6 +42,8 @@ FOLDS = {
     "sv": ("äåöü", "aaou"),
 }
 LANGUAGES = tuple(sorted(TOKEN_CHARACTERS))
+#: Tokens of a batch that are stemmed together: what a worker holds besides the batch doesn't grow with it.
+STEMMED_AT_ONCE = 1 << 16
 
 
 def is_supported(language: str) -> bool:
@@ -61,15 +64,33 @@ def separators(language: str) -> str:
     makes it several times slower.
     """
     given = TOKEN_CHARACTERS[check_language(language)]
+    return f"[^{_low(given)}{''.join(re.findall('[Ā-￿](?:-[Ā-￿])?', given))}]+"
+
+
+def _low(given: str) -> str:
     named = re.compile(f"[{given}]")
-    low = "".join("\\-" if chr(n) == "-" else chr(n) for n in range(256) if named.match(chr(n)))
-    return f"[^{low}{''.join(re.findall('[Ā-￿](?:-[Ā-￿])?', given))}]+"
+    return "".join("\\-" if chr(n) == "-" else chr(n) for n in range(256) if named.match(chr(n)))
+
+
+@cache
+def stand_ins(language: str) -> tuple[str, str]:
+    """The language's characters from 256 on, and as many below 256 that are in none of its tokens."""
+    named = re.compile(f"[{TOKEN_CHARACTERS[check_language(language)]}]")
+    high = "".join(chr(n) for n in range(256, 0x10000) if named.match(chr(n)))
+    return high, "".join(chr(n) for n in range(128, 256) if not named.match(chr(n)))[: len(high)]
 
 
 def split(text: Column, language: str) -> Column:
     """Tokens of the text as they are; a null text has none."""
     # one language a call: where a table has several, `analyze_by` picks
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), separators(language), -1), "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    high, below = stand_ins(language)
+    if len(high) < 2:
+        return F.array_remove(F.split(low, separators(language), -1), "")
+    # a class with several characters beyond Java's table takes ten times as long, so others stand for them; where these are in the text they separate
+    low = F.translate(low, high + below, below + " " * len(below))
+    tokens = F.array_remove(F.split(low, f"[^{_low(TOKEN_CHARACTERS[language])}{below}]+", -1), "")
+    return F.transform(tokens, lambda t: F.translate(t, below, high))
 
 
 def fold(token: Column, language: str) -> Column:
@@ -79,15 +100,21 @@ def fold(token: Column, language: str) -> Column:
 def _stemmer(language: str):
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def stemmed(tokens: pa.Array) -> pa.Array:
-        flat = tokens.flatten().dictionary_encode()
-        stems = pa.array([stem(w, language) for w in flat.dictionary.to_pylist()], pa.string())
+        flat = tokens.flatten()
+        parts = [stems_of(flat.slice(n, STEMMED_AT_ONCE), language) for n in range(0, len(flat), STEMMED_AT_ONCE)]
         lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        offsets = pa.array([0, *lengths.cumsum().tolist()], pa.int32())
-        return pa.ListArray.from_arrays(offsets, pc.take(stems, flat.indices) if len(flat) else pa.array([], pa.string()))
+        offsets = pa.array(np.concatenate([[0], lengths.cumsum()]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.concat_arrays(parts) if parts else pa.array([], pa.string()))
 
     return stemmed
 
 
+def stems_of(words: pa.Array, language: str) -> pa.Array:
+    """Each different word is stemmed once."""
+    words = words.dictionary_encode()
+    return pc.take(pa.array([stem(w, language) for w in words.dictionary.to_pylist()], pa.string()), words.indices)
+
+
 def analyze(text: Column, language: str = "en", stemming: bool = True, stops: bool = True, duplicates: bool = True) -> Column:
     """Tokens of the text, in order."""
     out = split(text, language)
@@ -95,10 +122,11 @@ def analyze(text: Column, language: str = "en", stemming: bool = True, stops: bo
         words = sorted(stop_words(language))
         out = F.filter(out, lambda t: ~t.isin(words))
     if stemming:
-        out = _stemmer(language)(out)
-    out = F.transform(out, lambda t: fold(t, language))
-    if stemming:
-        out = F.filter(out, lambda t: t != "")
+        out = F.filter(F.transform(_stemmer(language)(out), lambda t: fold(t, language)), lambda t: t != "")
+    else:
+        # a text of as many bytes as characters has nothing to fold
+        low = F.lower(text)
+        out = F.when(F.octet_length(low) == F.length(low), out).otherwise(F.transform(out, lambda t: fold(t, language)))
     return out if duplicates else F.array_distinct(out)
 
 

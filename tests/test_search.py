@@ -410,6 +410,30 @@ def test_rows_of_repeated_ids_are_counted_together(spark, monkeypatch, most):
     assert len(got) == 5 and {*got} == _grouped(rows, ["id"]) == {(1, "a", 1), (1, "b", 2), (1, "c", 1), (None, "a", 3), (2, "a", 1)}
 
 
+@pytest.mark.parametrize("language", analyzer.LANGUAGES)
+def test_splitting_is_by_the_separators_whatever_stands_for_what(spark, language):
+    high, below = analyzer.stand_ins(language)
+    assert len(high) == len(below) and not {*below} & {*"\\^]-[&"}
+    texts = [f"{high} {below} x{below}y", "".join(f"z{chr(n)}" for n in range(1, 0x600)), "Ő Űű ÉÑ ЁЖ-ё œŒ Š ǅ 読む x\U0001f600y", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.array_remove(F.split(F.lower(F.coalesce("t", F.lit(""))), analyzer.separators(language), -1), "")
+    for r in df.select(analyzer.split(F.col("t"), language).alias("a"), plain.alias("b"), analyzer.analyze(F.col("t"), language, stemming=False, stops=False).alias("c"), F.transform(plain, lambda t: analyzer.fold(t, language)).alias("d")).collect():
+        assert r["a"] == r["b"] and r["c"] == r["d"]
+
+
+def test_batches_are_stemmed_piece_by_piece(spark, monkeypatch):
+    import pyarrow as pa
+
+    sizes = []
+    real = analyzer.stems_of
+    monkeypatch.setattr(analyzer, "stems_of", lambda words, language: sizes.append(len(words)) or real(words, language))
+    monkeypatch.setattr(analyzer, "STEMMED_AT_ONCE", 7)
+    arrays = [["knives", "knocked"] * n for n in range(6)] + [None, []]
+    got = analyzer._stemmer("en").func(pa.array(arrays, pa.list_(pa.string())))
+    assert got.to_pylist() == [[stem(w, "en") for w in a or ()] for a in arrays]
+    assert max(sizes) == 7 and sum(sizes) == 30
+
+
 def test_saving_after_an_insert_writes_what_came_since(spark, tmp_path, monkeypatch):
     from quernstone.plans import engine as module
 
