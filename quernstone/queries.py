@@ -19,7 +19,7 @@ from quernstone.operators import index as ix
 from quernstone.operators import match
 from quernstone.plans.engine import SearchEngine
 from quernstone.sources.readers import read_json, read_xml, spread
-from quernstone.storage import new_folder
+from quernstone.storage import new_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,7 +70,8 @@ def _counts(language: str, **options: bool) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tokens = analyzer.analyze(F.col("text"), language, **options) if options else analyzer.split(F.col("text"), language)
-        return with_sentences(spark, sf_dir, language).select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+        rows = with_sentences(spark, sf_dir, language)
+        return ix.counted(rows.select("doc_id", tokens.alias("tokens")), ["doc_id"], ix.repeated_ids(rows.select("doc_id")))
 
     return run
 
@@ -124,7 +125,8 @@ def stemmed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index(spark: SparkSession, sf_dir: str, properties: list[str] | None = None, docs: DataFrame | None = None, analysis: ix.Analysis = PLAIN) -> ix.Index:
     """Not kept: what a query needs of it is computed within its own plan, with its filters pushed into it."""
     docs = (documents(spark, sf_dir) if docs is None else docs).withColumn("analyzed_as", F.lit("en"))
-    return ix.Index.build(ix.flatten(docs, properties or ["text"], "doc_id", "analyzed_as"), ["en"], analysis, keep=False)
+    fields = ix.flatten(docs, properties or ["text"], "doc_id", "analyzed_as")
+    return ix.Index.build(fields, ["en"], analysis, keep=False, repeated=ix.repeated_ids(docs.select("doc_id")))
 
 
 def _index_sql(properties: tuple[str, ...] = ("text",), table: str = "documents") -> str:
@@ -216,7 +218,7 @@ _TREE_Q = ", ".join(f"('{t}')" for t in _TREE_TOKENS)
 
 @query("match_fuzzy_tree", f"WITH {_index_sql()}, {_TREE_SQL.format(tokens=_TREE_Q)} SELECT b.token, t.term, t.df FROM below b JOIN terms t ON t.prop = b.prop AND starts_with(t.term, b.head) AND levenshtein(t.term, b.token) <= 2")
 def match_fuzzy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = index(spark, sf_dir).term_stats
+    stats = stored(index(spark, sf_dir).term_stats)  # read twice, and edit distances are of terms and not of postings
     return match.matches(stats, list(_TREE_TOKENS), match.TREE, 2).select("token", "term", "df")
 
 

@@ -489,3 +489,10 @@ def test_tables_stored_are_as_they_were(spark):
     for df in (odd, odd.drop("e")):
         got = stored(df)
         assert got.columns == df.columns and [f.dataType for f in got.schema] == [f.dataType for f in df.schema] and str(got.collect()) == str(df.collect())
+
+
+def test_the_tree_query_computes_its_dictionary_once(spark):
+    from quernstone.queries import QUERIES
+
+    plan = QUERIES["match_fuzzy_tree"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" not in plan and "split(" not in plan
